@@ -129,10 +129,10 @@ def chunks(blobs: list[bytes], most: int = CHUNK):
         yield at, len(blobs)
 
 
-def words(blobs: list[bytes], tables: tuple[np.ndarray, np.ndarray]):
-    """Joined bytes, and for each word: its text's index, start, end and 64-bit hash."""
+def words(blobs: list[bytes], tables: tuple[np.ndarray, np.ndarray], joiner: bytes = b"\n"):
+    """Joined bytes, and for each word: its text's index, start, end and 64-bit hash.  The joiner is a separator byte."""
     is_sep, value = tables
-    joined = b"\n".join(blobs) + b"\n"
+    joined = joiner.join(blobs) + joiner
     buf = np.frombuffer(joined, np.uint8)
     inside = np.empty(len(buf) + 1, bool)
     inside[0] = False
