@@ -61,6 +61,16 @@ def is_range(c: Column) -> Column:
     return c.rlike(rf"\d\s*{rx.RANGE}\s*\d")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable instead of a copy at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _described(c: Column) -> Column:
+    """A mention with its numbers and what kind it is."""
+    return F.struct(c.alias("text"), numbers(c).alias("n"), is_year(c).alias("year"), is_abbreviated(c).alias("short"), is_range(c).alias("range"))
+
+
 def _f(c: Column) -> Column:
     return c.try_cast("float")
 
@@ -90,23 +100,27 @@ def _full(c: Column) -> tuple[Column, Column]:
     return tuple(F.when(is_abbreviated(c), F.concat(F.lit(century), c)).otherwise(c) for century in ("19", "20"))
 
 
-def _range_match(n1: Column, n2: Column, other: Column, invert: bool) -> Column:
-    first, second = F.get(n1, F.lit(0)), F.get(n1, F.lit(1))
-    bounds = list(zip(_full(first), _full(second), strict=True))
-    point, end = F.get(n2, F.lit(0)), F.get(n2, F.lit(1))
-    others = list(zip(_full(point), _full(end), strict=True))
+def _range_match(a: Column, b: Column, invert: bool) -> Column:
+    """Relations of mention b to the range a."""
+    first, second = F.get(a["n"], F.lit(0)), F.get(a["n"], F.lit(1))
+    point, end = F.get(b["n"], F.lit(0)), F.get(b["n"], F.lit(1))
+    held = F.array(F.lit(PART if invert else SUPERSET))
     none = F.array().cast("array<string>")
-    both = F.array_union(*[F.coalesce(overlap(*a, *b, invert), none) for a, b in zip(bounds, others, strict=True)])
-    held = F.lit(PART if invert else SUPERSET)
-    contains = lambda *values: F.reduce(F.array(*[in_range(lo, hi, v) for lo, hi in bounds for v in values]), F.lit(False), lambda x, y: x | y)
-    in_century = contains(F.concat(F.lit("19"), point), F.concat(F.lit("20"), point))
-    as_it_is = contains(point)
-    return (
-        F.when(is_range(other), F.when(F.size(both) > 0, both))
-        .when(is_year(other) & as_it_is, F.array(held))
-        .when(is_abbreviated(other), F.when(in_century, F.array(held)))
-        .otherwise(F.when(as_it_is, F.array(held)))
-    )
+
+    def decide(v: Column) -> Column:
+        bounds, others = [(v["a19"], v["b19"]), (v["a20"], v["b20"])], [(v["c19"], v["d19"]), (v["c20"], v["d20"])]
+        both = F.array_union(*[F.coalesce(overlap(*x, *y, invert), none) for x, y in zip(bounds, others, strict=True)])
+        contains = lambda *values: F.reduce(F.array(*[in_range(lo, hi, x) for lo, hi in bounds for x in values]), F.lit(False), lambda x, y: x | y)
+        as_it_is = contains(point)
+        return (
+            F.when(b["range"], _let(both, lambda r: F.when(F.size(r) > 0, r)))
+            .when(b["year"] & as_it_is, held)
+            .when(b["short"], F.when(contains(F.concat(F.lit("19"), point), F.concat(F.lit("20"), point)), held))
+            .otherwise(F.when(as_it_is, held))
+        )
+
+    named = [c.alias(f"{k}{century}") for k, x in (("a", first), ("b", second), ("c", point), ("d", end)) for century, c in zip(("19", "20"), _full(x), strict=True)]
+    return _let(F.struct(*named), decide)
 
 
 def _years_match(n1: Column, n2: Column, abbreviated: Column) -> Column:
@@ -120,35 +134,43 @@ def _abbreviated_match(n1: Column, n2: Column, abbreviated: Column) -> Column:
 
 
 def _plain(a: Column, b: Column) -> Column:
-    """Relations of two mentions neither of which is an enumeration."""
-    n1, n2 = numbers(a), numbers(b)
+    """Relations of two described mentions neither of which is an enumeration."""
+    n1, n2 = a["n"], b["n"]
     same = F.array(F.lit(SAME))
     equal = F.exists(n1, lambda x: F.exists(n2, lambda y: F.coalesce(_f(x) == _f(y), F.lit(False))))
     yes = lambda c: F.coalesce(c, F.lit(False))
     by_years = (
-        F.when(is_year(a) & yes(_years_match(n1, n2, is_abbreviated(b))), same)
-        .when(is_year(b) & yes(_years_match(n2, n1, is_abbreviated(a))), same)
-        .when(is_abbreviated(a) & yes(_abbreviated_match(n1, n2, is_abbreviated(b))), same)
-        .when(is_abbreviated(b), F.when(yes(_abbreviated_match(n2, n1, is_abbreviated(a))), same))
+        F.when(a["year"] & yes(_years_match(n1, n2, b["short"])), same)
+        .when(b["year"] & yes(_years_match(n2, n1, a["short"])), same)
+        .when(a["short"] & yes(_abbreviated_match(n1, n2, b["short"])), same)
+        .when(b["short"], F.when(yes(_abbreviated_match(n2, n1, a["short"])), same))
         .otherwise(F.when(equal, same))
     )
-    return F.coalesce(F.when(is_range(a), _range_match(n1, n2, b, False)), F.when(is_range(b), _range_match(n2, n1, a, True)), by_years)
+    return F.coalesce(F.when(a["range"], _range_match(a, b, False)), F.when(b["range"], _range_match(b, a, True)), by_years)
 
 
 def _any_part(mention: Column, match: Callable[[Column], Column]) -> Column:
     """Relations of the first enumerated number that matches: part_of instead of same_as."""
-    parts = F.flatten(F.transform(numbers(mention), lambda x: F.split(x, rx.ENUM)))
-    hits = F.filter(F.transform(parts, match), lambda r: r.isNotNull())
-    return F.when(F.size(hits) > 0, F.array_union(F.array_remove(F.get(hits, F.lit(0)), SAME), F.array(F.lit(PART))))
+    parts = F.flatten(F.transform(mention["n"], lambda x: F.split(x, rx.ENUM)))
+    hits = F.filter(F.transform(parts, lambda x: _let(_described(x), match)), lambda r: r.isNotNull())
+    return _let(hits, lambda h: F.when(F.size(h) > 0, F.array_union(F.array_remove(F.get(h, F.lit(0)), SAME), F.array(F.lit(PART)))))
 
 
 def numeric_match(a: Column, b: Column) -> Column:
-    """Sorted relations of mention a to mention b; null where they do not match, superset_of where one is null."""
-    single = lambda x, other: F.when(is_enumeration(other), _any_part(other, lambda y: _plain(y, x))).otherwise(_plain(x, other))
-    found = (
-        F.when(a.isNull() | b.isNull(), F.array(F.lit(SUPERSET)))
-        .when(is_enumeration(a), _any_part(a, lambda x: single(x, b)))
-        .when(is_enumeration(b), _any_part(b, lambda y: single(y, a)))
-        .otherwise(_plain(a, b))
+    """Sorted relations of mention a to mention b; null where they do not match, superset_of where one is null.
+
+    An enumeration is compared number by number.  Every comparison of two plain mentions is one
+    expression over pairs, so the numbers of both sides are spread out first.
+    """
+    many_a, many_b = is_enumeration(a), is_enumeration(b)
+    found = _let(
+        _described(a),
+        lambda x: _let(
+            _described(b),
+            lambda y: F.when(many_a & many_b, _any_part(x, lambda p: _any_part(y, lambda q: _plain(q, p))))
+            .when(many_a, _any_part(x, lambda p: _plain(p, y)))
+            .when(many_b, _any_part(y, lambda q: _plain(q, x)))
+            .otherwise(_plain(x, y)),
+        ),
     )
-    return F.array_sort(found)
+    return F.array_sort(F.when(a.isNull() | b.isNull(), F.array(F.lit(SUPERSET))).otherwise(found))

@@ -22,7 +22,9 @@ LINK_ITEM = r'<li><a href="([^"]*)">([^<]*)'
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 #: handwritten reference patterns: group 1 is the term
 HANDWRITTEN = {
-    "between_the_and_of": r"\bthe (\S+) of\b",
-    "between_in_and_and": r"\bin (\S+ \S+) and\b",
-    "between_de_and_la": r"\bde (\S+) la\b",
+    "first_before_of": r"^(\S+) of\b",
+    "first_before_the": r"^(\S+) the\b",
+    "first_before_de": r"^(\S+) de\b",
+    "sentence_before_the": r"[.] (\S+) the\b",
+    "sentence_before_of": r"[.] (\S+) of\b",
 }

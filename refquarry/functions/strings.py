@@ -58,7 +58,9 @@ def shorten(c: Column) -> Column:
 def left_words(c: Column) -> Column:
     """The words of a left context, then the white-space character that ends it (or the empty string)."""
     last = F.substring(c, -1, 1)
-    return F.array_append(F.split(F.regexp_replace(c, r"\s+$", ""), r"\s+"), F.when(last.rlike(r"\s"), last).otherwise(F.lit("")))
+    text = F.regexp_replace(c, r"\s+$", "")
+    words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, r"\s+"))
+    return F.array_append(words, F.when(last.rlike(r"\s"), last).otherwise(F.lit("")))
 
 
 def right_words(c: Column) -> Column:
@@ -119,7 +121,7 @@ def is_stopword(c: Column, stopwords=STOPWORDS) -> Column:
     """Only punctuation, space and digits; or numeric; or, without punctuation, one character or less, a stopword, or stopwords in a row."""
     word = F.lower(F.trim(F.regexp_replace(c, rx.PUNCT_RUN_JAVA, "")))
     stops = F.array(*[F.lit(s) for s in stopwords])
-    joined = F.exists(stops, lambda s: F.array_contains(stops, F.trim(F.replace(word, s, F.lit(" ")))) | (F.replace(word, s, F.lit("")) == ""))
+    joined = F.exists(stops, lambda s: F.contains(word, s) & (F.array_contains(stops, F.trim(F.replace(word, s, F.lit(" ")))) | (F.replace(word, s, F.lit("")) == "")))
     return c.rlike(r"^[\p{Punct}\s\d]*$") | F.trim(c).rlike(rf"^(?:{rx.COMPLEX_NUMERIC})$") | (F.length(word) < 2) | F.array_contains(stops, word) | joined
 
 

@@ -45,7 +45,10 @@ def phrase_matches(words: Column, phrase: list[str], slop: int = 0) -> Column:
         here = lambda p: F.reduce(F.array(*[F.get(words, p + i) == F.lit(w) for i, w in fixed]), F.lit(True), lambda a, b: a & b)
         return F.when(F.size(words) >= n, F.exists(F.sequence(F.lit(0), F.size(words) - n), here)).otherwise(False)
     places = F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
-    shifted = [F.transform(F.filter(places, lambda x, w=w: x["w"] == w), lambda x, i=i: x["p"] - i) for i, w in fixed]
+    def adjusted(i: int, w: str) -> Column:
+        return F.transform(F.filter(places, lambda x: x["w"] == w), lambda x: x["p"] - i)
+
+    shifted = [adjusted(i, w) for i, w in fixed]
     near = lambda b: F.reduce(F.array(*[F.exists(s, lambda x: (x >= b) & (x <= b + slop)) for s in shifted]), F.lit(True), lambda x, y: x & y)
     return F.exists(F.concat(*shifted), near)
 
@@ -81,7 +84,7 @@ def pattern_search(lines: DataFrame, patterns: DataFrame, upper_case: bool = Tru
         raise ValueError(f"more than {MOST_PATTERNS} patterns; search them in parts")
     literal = F.regexp_extract_all(F.regexp_replace("regex", r"\\Q|\\E", " "), F.lit(r"(?<![\\(\[?*+])\b(\p{L}{3,})\b"), F.lit(1))
     anchored = patterns.select("pattern", "regex").withColumn("anchor", F.coalesce(F.array_max(F.transform(literal, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit("")))
-    hits = lines.join(F.broadcast(anchored), F.contains("text", "anchor") & F.col("text").rlike(F.col("regex")))
+    hits = lines.join(F.broadcast(anchored), F.contains("text", "anchor") & F.rlike("text", F.col("regex")))
     hits = hits.withColumn("reference", F.expr("regexp_extract(text, regex, 1)"))
     hits = hits.withColumn("reference", F.trim("reference")).where(accepted_term(F.col("reference"), upper_case, stopwords))
     left, right = split_context(F.col("text"), F.col("reference"))
