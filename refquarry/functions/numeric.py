@@ -61,7 +61,7 @@ def is_range(c: Column) -> Column:
     return c.rlike(rf"\d\s*{rx.RANGE}\s*\d")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda variable instead of a copy at each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -113,14 +113,14 @@ def _range_match(a: Column, b: Column, invert: bool) -> Column:
         contains = lambda *values: F.reduce(F.array(*[in_range(lo, hi, x) for lo, hi in bounds for x in values]), F.lit(False), lambda x, y: x | y)
         as_it_is = contains(point)
         return (
-            F.when(b["range"], _let(both, lambda r: F.when(F.size(r) > 0, r)))
+            F.when(b["range"], let(both, lambda r: F.when(F.size(r) > 0, r)))
             .when(b["year"] & as_it_is, held)
             .when(b["short"], F.when(contains(F.concat(F.lit("19"), point), F.concat(F.lit("20"), point)), held))
             .otherwise(F.when(as_it_is, held))
         )
 
     named = [c.alias(f"{k}{century}") for k, x in (("a", first), ("b", second), ("c", point), ("d", end)) for century, c in zip(("19", "20"), _full(x), strict=True)]
-    return _let(F.struct(*named), decide)
+    return let(F.struct(*named), decide)
 
 
 def _years_match(n1: Column, n2: Column, abbreviated: Column) -> Column:
@@ -149,28 +149,28 @@ def _plain(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(a["range"], _range_match(a, b, False)), F.when(b["range"], _range_match(b, a, True)), by_years)
 
 
-def _any_part(mention: Column, match: Callable[[Column], Column]) -> Column:
-    """Relations of the first enumerated number that matches: part_of instead of same_as."""
-    parts = F.flatten(F.transform(mention["n"], lambda x: F.split(x, rx.ENUM)))
-    hits = F.filter(F.transform(parts, lambda x: _let(_described(x), match)), lambda r: r.isNotNull())
-    return _let(hits, lambda h: F.when(F.size(h) > 0, F.array_union(F.array_remove(F.get(h, F.lit(0)), SAME), F.array(F.lit(PART)))))
+def _parts(mention: Column, many: Column) -> Column:
+    """The described numbers of an enumeration, or the described mention itself."""
+    numbers_ = F.flatten(F.transform(numbers(mention), lambda x: F.split(x, rx.ENUM)))
+    return F.transform(F.when(many, numbers_).otherwise(F.array(mention)), _described)
 
 
 def numeric_match(a: Column, b: Column) -> Column:
     """Sorted relations of mention a to mention b; null where they do not match, superset_of where one is null.
 
-    An enumeration is compared number by number.  Every comparison of two plain mentions is one
-    expression over pairs, so the numbers of both sides are spread out first.
+    Enumerations are compared number by number; the first pair that matches decides, and part_of then
+    stands for same_as.  If b is one, its numbers are compared to a's and not the other way round.
     """
     many_a, many_b = is_enumeration(a), is_enumeration(b)
-    found = _let(
-        _described(a),
-        lambda x: _let(
-            _described(b),
-            lambda y: F.when(many_a & many_b, _any_part(x, lambda p: _any_part(y, lambda q: _plain(q, p))))
-            .when(many_a, _any_part(x, lambda p: _plain(p, y)))
-            .when(many_b, _any_part(y, lambda q: _plain(q, x)))
-            .otherwise(_plain(x, y)),
-        ),
-    )
-    return F.array_sort(F.when(a.isNull() | b.isNull(), F.array(F.lit(SUPERSET))).otherwise(found))
+
+    def pairs(x: Column) -> Column:
+        def plain(p: Column, q: Column) -> Column:
+            ordered = F.struct(F.when(x["mb"], q).otherwise(p).alias("u"), F.when(x["mb"], p).otherwise(q).alias("v"))
+            return let(ordered, lambda w: _plain(w["u"], w["v"]))
+
+        return F.flatten(F.transform(x["pa"], lambda p: F.transform(x["pb"], lambda q: plain(p, q))))
+
+    sides = F.struct(many_b.alias("mb"), _parts(a, many_a).alias("pa"), _parts(b, many_b).alias("pb"))
+    first = F.get(F.filter(let(sides, pairs), lambda r: r.isNotNull()), F.lit(0))
+    listed = lambda r: F.when(many_a | many_b, F.array_union(F.array_remove(r, SAME), F.array(F.lit(PART)))).otherwise(r)
+    return F.array_sort(F.when(a.isNull() | b.isNull(), F.array(F.lit(SUPERSET))).otherwise(let(first, listed)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refquarry.functions.numeric import PART, SAME, SUPERSET, first_doi, first_url, numbers, numeric_match, reference_numeric_info, sorted_info
+from refquarry.functions.numeric import PART, SAME, SUPERSET, first_doi, first_url, let, numbers, numeric_match, reference_numeric_info, sorted_info
 from refquarry.functions.strings import clean_name, ontology_key, strip_doi_prefix
 
 # Reliability of metadata extraction, and the score below which a candidate is no link.
@@ -26,14 +26,20 @@ def metadata_entities(refs: DataFrame) -> DataFrame:
 
 
 def number_score(info, title, target_info=None):
-    """(score, relations) of an entity's numeric mentions against a catalogue title."""
-    target = numbers(title) if target_info is None else F.when(F.size(F.coalesce(target_info, F.array().cast("array<string>"))) > 0, target_info).otherwise(numbers(title))
-    pairs = F.flatten(F.transform(info, lambda a: F.transform(target, lambda b: numeric_match(a, b))))
-    hit = F.get(F.filter(pairs, lambda r: r.isNotNull()), F.lit(0))
+    """struct(score, relations) of an entity's numeric mentions against a catalogue title."""
+    own = numbers(title) if target_info is None else F.when(F.size(F.coalesce(target_info, F.array().cast("array<string>"))) > 0, target_info).otherwise(numbers(title))
     none = F.array().cast("array<string>")
-    score = F.when(F.size(target) == 0, 0.5).when(F.size(info) == 0, 0.7).when(hit.isNotNull(), 1.0).otherwise(0.0)
-    relations = F.when(F.size(target) == 0, F.when(F.size(info) == 0, F.array(F.lit(SAME))).otherwise(F.array(F.lit(PART)))).when(F.size(info) == 0, F.array(F.lit(SUPERSET))).otherwise(F.coalesce(hit, none))
-    return score, relations
+
+    def judge(target):
+        pairs = F.flatten(F.transform(info, lambda a: F.transform(target, lambda b: numeric_match(a, b))))
+        result = lambda score, relations: F.struct(F.lit(score).alias("score"), relations.alias("relations"))
+        return (
+            F.when(F.size(target) == 0, result(0.5, F.when(F.size(info) == 0, F.array(F.lit(SAME))).otherwise(F.array(F.lit(PART)))))
+            .when(F.size(info) == 0, result(0.7, F.array(F.lit(SUPERSET))))
+            .otherwise(let(F.get(F.filter(pairs, lambda r: r.isNotNull()), F.lit(0)), lambda hit: F.when(hit.isNotNull(), result(1.0, hit)).otherwise(result(0.0, none))))
+        )
+
+    return let(own, judge)
 
 
 def catalogue_search(entities: DataFrame, catalogue: DataFrame, key: str = "name", most: int = 1000) -> DataFrame:
@@ -60,11 +66,10 @@ def score_candidates(entities: DataFrame, results: DataFrame, services: DataFram
     last = F.max("list_index").over(Window.partitionBy("query", "service"))
     found = results.withColumn("last", last).join(F.broadcast(services), "service").withColumnRenamed("identifier", "target")
     pairs = entities.join(found, entities[key] == found["query"])
-    number, relations = number_score(F.col("numeric_info"), F.col("title"))
     factors = (F.col("number_score"), F.col("service_reliability"), 1 - F.col("list_index") / (F.col("last") + 1))
     used = [w * f for w, f in zip(weights, factors, strict=True) if w]
     total = sum(used[1:], used[0]) / len(used)
-    pairs = pairs.withColumn("number_score", number).withColumn("relations", relations)
+    pairs = pairs.withColumn("judged", number_score(F.col("numeric_info"), F.col("title"))).withColumn("number_score", F.col("judged.score")).withColumn("relations", F.col("judged.relations"))
     return pairs.select("entity_id", F.col("target").alias("identifier"), "title", "service", "list_index", "number_score", "relations", total.alias("score"))
 
 
