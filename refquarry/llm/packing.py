@@ -135,25 +135,24 @@ class Packer:
         self.limit = np.array([length, segments, loss], float)
         self.length, self.segments, self.window = length, segments, window
         self.next = first_sequence
-        self.waiting: list[list] = []  # key, ids, place of the next id, first loss-bearing id
+        self.waiting: list[list] = []  # key, ids of the text, from, to, first loss-bearing id
         self.demand = np.zeros((2 * window, 3))
         self.open: list[tuple] = []
         self.left = self.limit.copy()
 
     def _demand(self, item: list) -> tuple[float, float, float]:
-        n = len(item[1]) - item[2]
-        return n, 1, len(item[1]) - max(item[2], item[3])
+        return item[3] - item[2], 1, max(0, item[3] - max(item[2], item[4]))
 
     def _close(self, tokens: int) -> Iterator[tuple]:
         """Ends the open sequence with its first `tokens` tokens; what is behind them waits again."""
         at = 0
-        for key, start, ids, total, item in self.open:
-            take = min(len(ids), tokens - at)
+        for key, ids, start, end, loss_from in self.open:
+            take = min(end - start, tokens - at)
             if take:
-                yield key, start, ids[:take], total, self.next, at
+                yield key, start, ids[start : start + take], len(ids), self.next, at
                 at += take
-            if take < len(ids):
-                self._wait([item[0], item[1], start + take, item[3]])
+            if start + take < end:
+                self._wait([key, ids, start + take, end, loss_from])
         self.next += 1
         self.open, self.left = [], self.limit.copy()
 
@@ -179,7 +178,7 @@ class Packer:
                 self.next += 1
                 at += self.length
         if at < len(ids):
-            self._wait([key, ids, at, loss_from])
+            self._wait([key, ids, at, len(ids), loss_from])
         while len(self.waiting) >= self.window:
             yield from self._place()
 
@@ -189,18 +188,15 @@ class Packer:
         fits = (d <= self.left).all(axis=1)
         whole = bool(fits.any()) and self.left[1] > 1
         i = int(np.where(fits, worth, -1).argmax() if whole else d[:, 0].argmax())
-        item = self._take(i)
-        key, ids, start, loss_from = item
-        n = len(ids) - start
+        key, ids, start, end, loss_from = self._take(i)
+        n = end - start
         if not whole:  # cut: as many ids as tokens and loss-bearing tokens allow
-            n = min(n, int(self.left[0]))
-            n = min(n, max(0, loss_from - start) + int(self.left[2]))
-        piece = ids[start : start + n]
+            n = min(n, int(self.left[0]), max(0, loss_from - start) + int(self.left[2]))
         if n:
-            self.open.append((key, start, piece, len(ids), item))
+            self.open.append((key, ids, start, start + n, loss_from))
             self.left -= (n, 1, max(0, start + n - max(start, loss_from)))
-        if start + n < len(ids):
-            self._wait([key, ids, start + n, loss_from])
+        if start + n < end:
+            self._wait([key, ids, start + n, end, loss_from])
         used = self.length - int(self.left[0])
         if used == self.length:
             yield from self._close(used)
