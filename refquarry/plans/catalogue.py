@@ -561,10 +561,11 @@ def upsert(spark, sf):
 
 @query("intersection_eval", """WITH f AS (SELECT source AS v, count(*) AS f FROM documents JOIN labels USING (doc_id) GROUP BY source), g AS (SELECT source AS v, count(*) AS g FROM documents WHERE lang = 'en' GROUP BY source),
 s AS (SELECT sum(least(coalesce(f, 0), coalesce(g, 0))) AS b, sum(coalesce(f, 0)) AS nf, sum(coalesce(g, 0)) AS ng FROM f FULL JOIN g USING (v))
-SELECT (b / nf)::DOUBLE AS precision, (b / ng)::DOUBLE AS recall, (2 * (b / nf) * (b / ng) / (b / nf + b / ng))::DOUBLE AS f1 FROM s""")
+SELECT round((b / nf)::DOUBLE, 6) AS precision, round((b / ng)::DOUBLE, 6) AS recall, round((2 * (b / nf) * (b / ng) / (b / nf + b / ng))::DOUBLE, 6) AS f1 FROM s""")
 def intersection_eval(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return link.precision_recall(docs.join(table(spark, sf, "labels"), "doc_id"), docs.where("lang = 'en'"), "source")
+    found = link.precision_recall(docs.join(table(spark, sf, "labels"), "doc_id"), docs.where("lang = 'en'"), "source")
+    return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("distinct_union_diff", f"WITH {PASSAGES} SELECT DISTINCT text FROM p WHERE text NOT IN (SELECT text FROM benchmark) UNION SELECT text FROM benchmark WHERE item_id % 2 = 0")

@@ -17,9 +17,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="refquarry-")
-        spark.conf.set("refquarry.scratch.dir", spark.conf.get("refquarry.scratch.dir", root))
-        root = spark.conf.get("refquarry.scratch.dir")
+        root = spark.conf.get("refquarry.scratch.dir", None)
+        if not root:
+            root = "file://" + tempfile.mkdtemp(prefix="refquarry-")
+            spark.conf.set("refquarry.scratch.dir", root)
     path = f"{root.rstrip('/')}/refquarry-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
