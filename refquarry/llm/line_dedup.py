@@ -152,9 +152,32 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _common_prefix(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def similar(a: str, b: str) -> bool:
+    """Edit similarity of SIMILARITY or more; what both begin or end with has no part in the distance and is cut off first."""
     longest = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - SIMILARITY) * longest and longest - edit_distance(a, b) >= SIMILARITY * longest
+    if abs(len(a) - len(b)) > (1 - SIMILARITY) * longest:
+        return False
+    k = _common_prefix(a, b)
+    a, b = a[k:], b[k:]
+    k = _common_prefix(a[::-1], b[::-1])
+    return longest - edit_distance(a[: len(a) - k], b[: len(b) - k]) >= SIMILARITY * longest
+
+
+def first_key(difference: int) -> int:
+    """Of the keys that two hashes share, the first; the pair is verified under it alone."""
+    same = [not (difference >> o) & ((1 << w) - 1) for o, w in BLOCKS]
+    return next(k for k, (i, j) in enumerate(KEYS) if same[i] and same[j])
 
 
 def _verify(batches):
@@ -168,7 +191,7 @@ def _verify(batches):
             value = np.uint64(sim & 0xFFFFFFFFFFFFFFFF)
             for j in np.flatnonzero(np.bitwise_count(sims[: len(members)] ^ value) <= DISTANCE).tolist():
                 other, words_ = members[j]
-                if other != node and forest.root(other) != forest.root(node) and similar(words_, text):
+                if first_key(int(sims[j] ^ value)) == where["key"] >> 26 and other != node and forest.root(other) != forest.root(node) and similar(words_, text):
                     forest.join(other, node)
                     out.append((other, node))
             if not role:
