@@ -239,7 +239,11 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = ws.cut(first.select("name", "first", "sim", F.xxhash64("name").alias("node")), "distinct")
     buckets = int(max(16, -(-10 * distinct.count() // BUCKET_LINES)))
     near = distinct.select("sim").mapInArrow(_pack(buckets), "bucket int, keys binary, sims binary").groupBy("bucket").applyInArrow(_near, "key long, sim long")
-    near = ws.cut(near, "near")
+    # different lines of one hash share every key; they are verified under the first
+    low = F.lit((1 << BLOCKS[0][1]) - 1)
+    first_of = F.col("sim").bitwiseAND(low) * (1 << 13) + F.shiftrightunsigned("sim", 13).bitwiseAND(low)
+    alike = distinct.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(first_of.alias("key"), "sim")
+    near = ws.cut(near.union(alike).distinct(), "near")
     links = None
     if not near.isEmpty():
         bits = np.zeros(BITMAP // 64, np.uint64)
