@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 #: distinct words that a worker remembers before it starts afresh
 REMEMBERED = 300_000
 #: standard deviations above the training mean at which a text counts as unexplained
-REJECT_SD = 8.0
+REJECT_SD = 10.0
 _K = np.uint64(0xD6E8FEB86659FD93)
 _START, _END = 1, 2
 
@@ -234,7 +234,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Identifie
     spread = scored.where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s"), F.max("cross_entropy").alias("top"))
     for r in spread.collect():
         if r["lang_pred"] in model.languages:
-            model.limits[model.languages.index(r["lang_pred"])] = max(r["m"] + REJECT_SD * r["s"], r["top"] * 1.1)
+            model.limits[model.languages.index(r["lang_pred"])] = max(r["m"] + REJECT_SD * r["s"], r["top"] * 1.25)
     return model
 
 
