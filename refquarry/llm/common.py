@@ -184,3 +184,37 @@ def shingle_sets(blobs: list[bytes], tables: tuple[np.ndarray, np.ndarray], k: i
                 yield np.array([x], np.uint64)
             else:
                 yield h[:0]
+
+
+# ------------------------------------------------------------------ bitmaps
+
+#: bits of a bitmap of wanted keys: a fixed size (2 MB) whatever the input; a full one only lets more through
+BITMAP = 1 << 24
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    bit = mix(keys) % np.uint64(BITMAP)
+    return (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bitmap of a table's one long column, for dropping rows early that an exact join would drop later."""
+    import pyarrow as pa
+
+    def run(batches):
+        held = np.zeros(BITMAP // 64, np.uint64)
+        for batch in batches:
+            word, bit = _places(batch.column(0).to_numpy().view(np.uint64))
+            np.bitwise_or.at(held, word, np.uint64(1) << bit)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], names=["at", "bits"])
+
+    out = np.zeros(BITMAP // 64, np.uint64)
+    for r in keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        out[r["at"]] = r["bits"] & _MASK
+    return out
+
+
+def in_bitmap(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, bit = _places(keys)
+    return (held[word] >> bit) & np.uint64(1) == 1

@@ -6,16 +6,18 @@ component under those links.
 
 1. Equal sets are one node.  Every task also reports its most frequent shingles; at most HOT_TOKENS
    of them, summed over the corpus, stand last in the global order (any order keeps the result exact).
-2. Two linked sets of size s share a token among the first s - ceil(0.75 s) + 1 of either in that
-   order.  Those prefixes go, packed, to buckets; tokens that stand in one set only are dropped.
-3. Each node with a shared token has a home, the most frequent token of its prefix; homes of many
+2. Two linked sets share at least l tokens among the first s - ceil(0.75 s) + l of each in that order
+   (s its size), for any l; l grows with s, so that a passage in common is too little.  Those prefixes
+   go, packed, to buckets; tokens that stand in one set only are dropped.
+3. Each node with l shared tokens or more has a home, the most frequent token of its prefix; homes of many
    nodes are divided into shards of bounded size.  A task searches within each of its shards by
    T-occurrence with DivideSkip and returns a spanning forest of the links, not all pairs.
 4. Leaders of a home's shards are searched together; components are formed; then a node visits each
-   other shard in which a node of another (larger) component shares one of its prefix tokens.
+   other shard in which nodes of other (larger) components share l of its prefix tokens.
    No pair of different components that could link is left out, so components are exact.
 
-Hashing is to 64 bits for shingles and 128 bits for whole sets.
+Hashing is to 64 bits for shingles and 128 bits for whole sets; candidate search takes 64 bits of the
+latter, where a collision can only add candidates.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import SPACES, Workspace, as_bytes, byte_table, mix, shingle_sets, table
+from refquarry.llm.common import SPACES, Workspace, as_bytes, bitmap, byte_table, in_bitmap, mix, shingle_sets, table
 from refquarry.llm.components import components
 
 K = 5
 #: similarity as a ratio of whole numbers, so that the test is exact
 NUM, DEN = 75, 100
+#: prefixes are a fifth of the set longer than one token in common needs
+WIDER = 5
 HOT_TOKENS = 65_536
 HOT_LEAST = 24
 #: what one task reports of its own most frequent shingles
@@ -43,7 +47,7 @@ HOT_PER_TASK = 8192
 SHARD_NODES = 2048
 SHARD_TOKENS = 1 << 21
 #: prefix entries that a bucket holds, about
-BUCKET_ENTRIES = 1 << 18
+BUCKET_ENTRIES = 1 << 20
 #: packed entries that a task keeps before it sends them
 SEND_AT = 1 << 20
 #: cost of a probe into a long list against that of reading one entry of a short one
@@ -105,10 +109,15 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), np.int32)), pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.binary()), pa.array([n for _, n in hot], pa.int64()), pa.array(tokens)], names=names)
 
 
+def shared_least(s: int) -> int:
+    """How many tokens a set of size s shares at least, within prefixes, with any set that it links to (none of which is smaller than 0.75 s)."""
+    return max(1, -(-NUM * s // DEN) // WIDER)
+
+
 def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The first tokens in the global order: by hash, those in `hot` (sorted) last."""
     s = len(tokens)
-    n = s - -(-NUM * s // DEN) + 1
+    n = s - -(-NUM * s // DEN) + max(1, s // WIDER)
     if len(hot):
         is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
         cold = tokens[~is_hot]
@@ -117,24 +126,25 @@ def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def _pack(hot: np.ndarray, buckets: int):
-    """Prefix tokens by bucket: 32 remaining bits of each token, the index of its node, and the nodes."""
+    """Prefix tokens by bucket: 32 remaining bits of each token, the index of its node, and the nodes (their first 64 bits)."""
 
-    def send(tokens, owners, nodes, sizes):
-        t, o = np.concatenate(tokens), np.concatenate(owners)
-        m = mix(t)
+    def send(tokens, owners, nodes):
+        m = mix(np.concatenate(tokens))
+        o = np.concatenate(owners)
         b = ((m >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         at = np.argsort(b, kind="stable")
         t, o, b = m.astype(np.uint32)[at], o[at], b[at]
         edge = np.flatnonzero(np.diff(b, prepend=-1, append=buckets))
+        nodes = np.array(nodes, np.uint64)
         rows = []
         for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             own, local = np.unique(o[i:j], return_inverse=True)
-            rows.append((int(b[i]), t[i:j].tobytes(), local.astype(np.uint32).tobytes(), b"".join(nodes[x] for x in own), sizes[own].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))], names=["bucket", "tokens", "owners", "nodes", "sizes"])
+            rows.append((int(b[i]), t[i:j].tobytes(), local.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32).tobytes(), nodes[own].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 4))], names=["bucket", "tokens", "owners", "nodes"])
 
     def run(batches):
         seen: set[bytes] = set()
-        tokens, owners, nodes, sizes, held = [], [], [], [], 0
+        tokens, owners, nodes, held = [], [], [], 0
         for batch in batches:
             for s in _sets(batch):
                 node = _signature(s) if len(s) else None
@@ -145,39 +155,34 @@ def _pack(hot: np.ndarray, buckets: int):
                 p = prefix(s, hot)
                 tokens.append(p)
                 owners.append(np.full(len(p), len(nodes), np.int64))
-                nodes.append(node)
-                sizes.append(len(s))
+                nodes.append(int.from_bytes(node[:8], "big"))
                 held += len(p)
                 if held >= SEND_AT:
-                    yield send(tokens, owners, nodes, np.array(sizes, np.uint32))
-                    tokens, owners, nodes, sizes, held = [], [], [], [], 0
+                    yield send(tokens, owners, nodes)
+                    tokens, owners, nodes, held = [], [], [], 0
         if held:
-            yield send(tokens, owners, nodes, np.array(sizes, np.uint32))
+            yield send(tokens, owners, nodes)
 
     return run
 
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Of one bucket, the (node, token) entries whose token stands in more than one node."""
-    tokens, nodes, sizes = [], [], []
-    for t, o, n, z in zip(*(rows.column(c).to_pylist() for c in ("tokens", "owners", "nodes", "sizes")), strict=True):
-        names = np.frombuffer(n, np.dtype([("a", "<u8"), ("b", "<u8")]))
-        own = np.frombuffer(o, np.uint32)
+    tokens, nodes = [], []
+    for t, o, n in zip(*(rows.column(c).to_pylist() for c in ("tokens", "owners", "nodes")), strict=True):
         tokens.append(np.frombuffer(t, np.uint32))
-        nodes.append(names[own])
-        sizes.append(np.frombuffer(z, np.uint32)[own])
-    t, n, z = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-    at = np.lexsort((n["b"], n["a"], t))
-    t, n, z = t[at], n[at], z[at]
+        nodes.append(np.frombuffer(n, np.uint64)[np.frombuffer(o, np.uint16 if len(o) == 2 * len(tokens[-1]) else np.uint32)])
+    t, n = np.concatenate(tokens), np.concatenate(nodes)
+    at = np.lexsort((n, t))
+    t, n = t[at], n[at]
     fresh = np.ones(len(t), bool)
-    fresh[1:] = (t[1:] != t[:-1]) | (n["a"][1:] != n["a"][:-1]) | (n["b"][1:] != n["b"][:-1])
-    t, n, z = t[fresh], n[fresh], z[fresh]
+    fresh[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
+    t, n = t[fresh], n[fresh]
     edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
     df = np.repeat(np.diff(edge), np.diff(edge))
     keep = df > 1
     bucket = rows.column("bucket")[0].as_py()
-    raw = n[keep].tobytes()
-    return pa.table([pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()), pa.array(z[keep].astype(np.int64)), pa.array((np.int64(bucket) << 32) | t[keep].astype(np.int64)), pa.array(df[keep].astype(np.int64))], names=["node", "size", "token", "df"])
+    return pa.table([pa.array(n[keep].view(np.int64)), pa.array((np.int64(bucket) << 32) | t[keep].astype(np.int64)), pa.array(df[keep].astype(np.int32))], names=["node", "token", "df"])
 
 
 def _heap_merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -303,10 +308,16 @@ def _search(batches):
     yield batch_of()
 
 
-def _tokens(batches):
-    for batch in batches:
-        sets = [s.tobytes() for s in _sets(batch)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "size", "home", "salt")), pa.array(sets, pa.binary())], names=["id", "size", "home", "salt", "tokens"])
+def _tokens(able: np.ndarray):
+    """id and set of the documents whose id may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(in_bitmap(able, ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], names=["id", "tokens"])
+
+    return run
 
 
 def _in_shards(rows: DataFrame, parts: int) -> DataFrame:
@@ -328,19 +339,20 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     hot = np.array([r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64)
     hot = np.sort(hot)
     reps = of_docs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("s"))
-    entries = (of_docs.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) * (DEN - NUM) // DEN
+    entries = (of_docs.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) * (DEN - NUM + DEN // WIDER) // DEN
     buckets = max(16, -(-entries // BUCKET_ENTRIES))
-    packed = docs.mapInArrow(_pack(hot, int(buckets)), "bucket int, tokens binary, owners binary, nodes binary, sizes binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "node binary, size long, token long, df long")
+    packed = docs.mapInArrow(_pack(hot, int(buckets)), "bucket int, tokens binary, owners binary, nodes binary")
+    shared = packed.groupBy("bucket").applyInArrow(_shared, "node long, token long, df int")
     shared = ws.cut(shared, "shared")
 
-    homes = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("top"), F.max("size").alias("size")).select("node", "size", F.col("top.token").alias("home"))
-    homes = ws.cut(homes.join(reps.select("node", "id"), "node"), "homes")
+    enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * NUM / DEN) / WIDER))
+    known_as = reps.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("node"), "id", F.col("s").alias("size"))
+    homes = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("top"), F.count(F.lit(1)).alias("n")).join(known_as, "node")
+    homes = ws.cut(homes.where(F.col("n") >= enough).select("node", "id", "size", F.col("top.token").alias("home")), "homes")
     load = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_NODES), F.ceil(F.sum("size") / SHARD_TOKENS)).alias("salts"))
     active = homes.join(load, "home").select("id", "size", "home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("long").alias("salt"))
     active = ws.cut(active, "active")
-    sets = docs.join(active.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = sets.select(F.col("doc_id").alias("id"), "size", "home", "salt", "text").mapInArrow(_tokens, "id long, size long, home long, salt long, tokens binary")
+    sets = docs.mapInArrow(_tokens(bitmap(active.select("id"))), "id long, tokens binary").join(active, "id")
     sets = ws.cut(sets, "sets")
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -357,15 +369,17 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     found = links[0] if len(links) == 1 else links[0].union(links[1])
     first = components(found, ws, "cc1")
     weights = first.groupBy("component").count().withColumnRenamed("count", "w")
-    known = active.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "home", "salt", F.coalesce("component", "id").alias("component"))
-    known = known.join(weights, "component", "left").select("id", "home", "salt", "component", F.struct(F.coalesce("w", F.lit(1)).alias("w"), "component").alias("order"))
+    known = active.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "size", "home", "salt", F.coalesce("component", "id").alias("component"))
+    known = known.join(weights, "component", "left").select("id", "size", "home", "salt", "component", F.struct(F.coalesce("w", F.lit(1)).alias("w"), "component").alias("order"))
     known = ws.cut(known, "known")
-    placed = shared.select("node", "token").join(homes.select("node", "id"), "node").join(known, "id").select("token", "id", "component", "order", F.struct("home", "salt").alias("shard"))
+    placed = shared.select("node", "token").join(homes.select("node", "id").join(known, "id"), "node").select("token", "id", "size", "component", "order", F.struct("home", "salt").alias("shard"))
     placed = ws.cut(placed, "placed")
-    there = placed.groupBy("token", "shard").agg(F.max("order").alias("top"))
     several = placed.groupBy("token").agg(F.min("order").alias("lo"), F.max("order").alias("hi"), F.min("shard").alias("s0"), F.max("shard").alias("s1")).where("lo <> hi and s0 <> s1").select("token")
-    there = there.join(several, "token").select("token", F.col("shard").alias("to"), "top")
-    visits = placed.join(there, "token").where((F.col("to") != F.col("shard")) & (F.col("top") > F.col("order"))).select("id", "component", F.col("to").alias("shard")).distinct()
+    apart = ws.cut(placed.join(several, "token", "left_semi"), "apart")  # few: a token's nodes mostly share a home
+    there = apart.groupBy("token", F.col("shard").alias("to")).agg(F.max("order").alias("top"), F.min("size").alias("least"), F.max("size").alias("most"))
+    sizes_meet = (F.col("least") * NUM <= F.col("size") * DEN) & (F.col("most") * DEN >= F.col("size") * NUM)
+    visits = apart.join(there, "token").where((F.col("to") != F.col("shard")) & (F.col("top") > F.col("order")) & sizes_meet)
+    visits = visits.groupBy("id", "size", "component", F.col("to").alias("shard")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("id", "component", "shard")
     visits = ws.cut(visits, "visits")
     if not visits.isEmpty():
         component = known.select("id", "component")
