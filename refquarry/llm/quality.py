@@ -19,7 +19,8 @@ from refquarry.llm.toxicity import fit, training_rows
 
 MOST_LABELS = 6000
 DICTIONARY_BYTES = 112_640
-SAMPLE_BYTES, SAMPLE_EACH = 6_000_000, 4096
+#: bytes of text that make a dictionary, and the longest text that serves for one (whole; longer ones are only scored)
+SAMPLE_BYTES, SAMPLE_EACH = 6_000_000, 16_384
 LEVEL = 3
 PREDICT_AT = 0.3
 WEIGHTS = np.array([4.0, 0.0, 0.0, 0.0, 0.0, 1.0])
@@ -44,10 +45,11 @@ class Compressor:
 
 
 def _samples(rows: DataFrame, y: int) -> list[bytes]:
-    """Texts of one class for the dictionary: SAMPLE_EACH bytes of each row, SAMPLE_BYTES in all."""
+    """Whole texts of one class for the dictionary, none longer than SAMPLE_EACH bytes, SAMPLE_BYTES in all."""
     took, out = 0, []
-    for r in rows.where(F.col("y") == y).select(F.substring("text", 1, SAMPLE_EACH).alias("t")).where("t <> ''").limit(SAMPLE_BYTES // SAMPLE_EACH).collect():
-        b = r["t"].encode()
+    fit_in = F.octet_length("text").between(1, SAMPLE_EACH)
+    for r in rows.where((F.col("y") == y) & fit_in).select("text").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_BYTES // 4096).collect():
+        b = r["text"].encode()
         if took + len(b) > SAMPLE_BYTES:
             break
         took += len(b)
