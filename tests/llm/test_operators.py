@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def test_oracles(spark):
     for name, sql in ORACLES.items():
         got, want = QUERIES[name](spark, SF).toPandas(), c.sql(sql).df()
         norm = lambda rows: sorted(map(str, rows))
-        frame = lambda df: [tuple(None if x is None or x != x else round(float(x), 9) if isinstance(x, (float, int, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x) for x in r) for r in df[sorted(want.columns)].itertuples(index=False)]  # noqa: B023, E731
+        frame = lambda df: [tuple(None if pd.isna(x) else round(float(x), 9) if isinstance(x, (float, int, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x) for x in r) for r in df[sorted(want.columns)].itertuples(index=False)]  # noqa: B023, E731
         assert norm(frame(got)) == norm(frame(want)), name
 
 
