@@ -1,7 +1,7 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its lower-case words of letters and digits.  Equal normalised lines are one
-line.  Each distinct line has a 64-bit SimHash of its words; two whose hashes differ in at most
+line, however short; lines without any word always stay.  Each distinct line has a 64-bit SimHash of its words; two whose hashes differ in at most
 DISTANCE bits agree in at least two of the five blocks, so the ten pairs of blocks are keys that such
 lines share.  Lines that share a key with a near hash are verified by edit similarity; verified lines
 form groups, and of each group (and of each repeated line) only the first occurrence stays, by
@@ -26,8 +26,6 @@ from refquarry.llm.common import Workspace, as_bytes, byte_table, chunks, mix, t
 from refquarry.llm.components import components
 from refquarry.llm.ngram_join import Forest
 
-#: shorter lines always stay
-LEAST_WORDS = 3
 DISTANCE = 3
 SIMILARITY = 0.8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -53,31 +51,31 @@ def line_rows(blobs: list[bytes]):
         joined, line, starts, ends, h = words(lines, tables)
         n = np.bincount(line, minlength=len(lines))
         at = np.cumsum(n) - n
-        long_ = np.flatnonzero(n >= LEAST_WORDS)
+        worded = np.flatnonzero(n)
         sim = np.zeros(len(lines), np.uint64)
-        for j in range(0, len(long_), 2048):
-            some = long_[j : j + 2048]
+        for j in range(0, len(worded), 2048):
+            some = worded[j : j + 2048]
             first, last = at[some[0]], at[some[-1]] + n[some[-1]]
             bits = np.unpackbits(h[first:last].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            # between chosen lines stand shorter ones; their words go to sums of their own that are not read
+            # what stands between chosen lines goes to sums of its own that are not read
             edges = np.stack([at[some] - first, at[some] + n[some] - first], axis=1).ravel()
             votes = np.add.reduceat(np.vstack([bits, np.zeros((1, 64), np.uint8)]), edges, axis=0, dtype=np.int32)[0::2]
             sim[some] = np.packbits(2 * votes > n[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
         raw = h.tobytes()
-        names = [hashlib.blake2b(raw[8 * x : 8 * (x + k)], digest_size=16).digest() for x, k in zip(at[long_].tolist(), n[long_].tolist(), strict=True)]
+        names = [hashlib.blake2b(raw[8 * x : 8 * (x + k)], digest_size=16).digest() for x, k in zip(at[worded].tolist(), n[worded].tolist(), strict=True)]
 
         def text(i: int, joined=joined, starts=starts, ends=ends, at=at, n=n) -> str:
             return b" ".join(joined[starts[w] : ends[w]] for w in range(at[i], at[i] + n[i])).lower().decode("utf-8", "replace")
 
-        yield np.array(of, np.int64), np.array(number, np.int64), long_, names, sim, text
+        yield np.array(of, np.int64), np.array(number, np.int64), worded, names, sim, text
 
 
 def _occurrences(batches):
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
-        for of, number, long_, names, sim, _ in line_rows(as_bytes(batch.column("text"))):
+        for of, number, worded, names, sim, _ in line_rows(as_bytes(batch.column("text"))):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in of[long_].tolist()], pa.int64()), pa.array(number[long_]), pa.array(names, pa.binary()), pa.array(sim[long_].view(np.int64))], names=["doc_id", "line", "name", "sim"]
+                [pa.array([ids[i] for i in of[worded].tolist()], pa.int64()), pa.array(number[worded]), pa.array(names, pa.binary()), pa.array(sim[worded].view(np.int64))], names=["doc_id", "line", "name", "sim"]
             )
 
 
@@ -211,9 +209,9 @@ def _reread(bitmap: np.ndarray):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for of, number, long_, _, sim, text in line_rows(as_bytes(batch.column("text"))):
-                bit = mix(sim[long_]) % np.uint64(BITMAP)
-                may = long_[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+            for of, number, worded, _, sim, text in line_rows(as_bytes(batch.column("text"))):
+                bit = mix(sim[worded]) % np.uint64(BITMAP)
+                may = worded[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
                 if len(may):
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of[may].tolist()], pa.int64()), pa.array(number[may]), pa.array([text(i) for i in may.tolist()])], names=["doc_id", "line", "text"])
 
@@ -230,7 +228,7 @@ def _bits(batches):
 
 
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line, name, keep) for each line of LEAST_WORDS words or more, and the documents' ids and texts they came from."""
+    """(doc_id, line, name, keep) for each line with a word, and the documents' ids and texts they came from."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -283,7 +281,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated lines, n_lines, n_dropped for each row.
 
-    Null stays null (no lines), the empty text is one line; lines of fewer than LEAST_WORDS words stay.
+    Null stays null (no lines), the empty text is one line; lines without any word stay.
     Rows that repeat an id with the same text count as one document; an empty table gives no rows.
     """
     gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")

@@ -371,6 +371,12 @@ def test_lines_brute_force(spark, monkeypatch, shard):
     assert all(clean[i]["n_lines"] - clean[i]["n_dropped"] == (len(clean[i]["text"].split("\n")) if clean[i]["text"] or clean[i]["n_dropped"] < clean[i]["n_lines"] else 0) for i, _ in rows)
 
 
+def test_short_lines(spark):
+    texts = [(1, "les\nand ornd\n\n--\n日本語の行"), (2, "Les.\nand, ornd\n\n--\nand"), (3, "日本語の行\nornd and")]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {1: (texts[0][1], 0), 2: ("\n--\nand", 2), 3: ("ornd and", 1)}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
