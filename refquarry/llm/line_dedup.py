@@ -5,7 +5,7 @@ line, however short; lines without any word always stay.  Each distinct line has
 DISTANCE bits agree in at least two of the five blocks, so the ten pairs of blocks are keys that such
 lines share.  Lines that share a key with a near hash are verified by edit similarity; verified lines
 form groups, and of each group (and of each repeated line) only the first occurrence stays, by
-document id and then place.
+document id (rows that share one by a hash of their text) and then place.
 
 Keys travel packed.  Only lines that have a near hash are read a second time for their text; a bitmap
 of fixed size keeps the others out early.  Within a task verified lines are joined in a forest, so a
@@ -72,10 +72,11 @@ def line_rows(blobs: list[bytes]):
 
 def _occurrences(batches):
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_numpy()
         for of, number, worded, names, sim, _ in line_rows(as_bytes(batch.column("text"))):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in of[worded].tolist()], pa.int64()), pa.array(number[worded]), pa.array(names, pa.binary()), pa.array(sim[worded].view(np.int64))], names=["doc_id", "line", "name", "sim"]
+                [pa.array([ids[i] for i in of[worded].tolist()], pa.int64()), pa.array(rows[of[worded]]), pa.array(number[worded]), pa.array(names, pa.binary()), pa.array(sim[worded].view(np.int64))],
+                names=["doc_id", "row", "line", "name", "sim"],
             )
 
 
@@ -208,12 +209,12 @@ def _reread(bitmap: np.ndarray):
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_numpy()
             for of, number, worded, _, sim, text in line_rows(as_bytes(batch.column("text"))):
                 bit = mix(sim[worded]) % np.uint64(BITMAP)
                 may = worded[(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
                 if len(may):
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of[may].tolist()], pa.int64()), pa.array(number[may]), pa.array([text(i) for i in may.tolist()])], names=["doc_id", "line", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in of[may].tolist()], pa.int64()), pa.array(rows[of[may]]), pa.array(number[may]), pa.array([text(i) for i in may.tolist()])], names=["doc_id", "row", "line", "text"])
 
     return run
 
@@ -227,13 +228,18 @@ def _bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], names=["at", "bits"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text as row: what tells rows of one id, or of none, from each other."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+
+
 def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, line, name, keep) for each line with a word, and the documents' ids and texts they came from."""
+    """(doc_id, row, line, name, keep) for each line with a word, and the documents' ids, rows and texts they came from."""
     spark = docs.sparkSession
     ws = Workspace(spark, "lines")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = ws.cut(docs.mapInArrow(_occurrences, "doc_id long, line long, name binary, sim long"), "occurrences")
-    first = lines.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line")).alias("first"), F.min("sim").alias("sim"))
+    docs = _keyed(docs)
+    lines = ws.cut(docs.mapInArrow(_occurrences, "doc_id long, row long, line long, name binary, sim long"), "occurrences")
+    first = lines.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row", "line")).alias("first"), F.min("sim").alias("sim"))
     distinct = ws.cut(first.select("name", "first", "sim", F.xxhash64("name").alias("node")), "distinct")
     buckets = int(max(16, -(-10 * distinct.count() // BUCKET_LINES)))
     near = distinct.select("sim").mapInArrow(_pack(buckets), "bucket int, keys binary, sims binary").groupBy("bucket").applyInArrow(_near, "key long, sim long")
@@ -247,9 +253,9 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         bits = np.zeros(BITMAP // 64, np.uint64)
         for r in near.select("sim").mapInArrow(_bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
             bits[r["at"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-        texts = docs.mapInArrow(_reread(bits), "doc_id long, line long, text string")
-        able = distinct.join(near.select("sim").distinct(), "sim", "left_semi").select(F.col("first.doc_id").alias("d"), F.col("first.line").alias("l"), "node", "sim")
-        told = texts.join(able, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("line") == F.col("l"))).select("node", "sim", "text").dropDuplicates(["node"])
+        texts = docs.mapInArrow(_reread(bits), "doc_id long, row long, line long, text string")
+        able = distinct.join(near.select("sim").distinct(), "sim", "left_semi").select(F.col("first.doc_id").alias("d"), F.col("first.row").alias("r"), F.col("first.line").alias("l"), "node", "sim")
+        told = texts.join(able, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("row") == F.col("r")) & (F.col("line") == F.col("l"))).select("node", "sim", "text").dropDuplicates(["node"])
         told = ws.cut(told, "told")
         keyed = near.join(told.select("node", "sim"), "sim").select("key", "node", "sim")
         size = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / SHARD_LINES).alias("salts"))
@@ -268,25 +274,30 @@ def repeated_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         kept = grouped.groupBy("group").agg(F.min("first").alias("keep"))
         known = grouped.join(kept, "group").select("name", "keep")
         groups = distinct.join(known, "name", "left").select("name", F.coalesce("keep", "first").alias("keep"))
-    return lines.select("doc_id", "line", "name").join(groups, "name"), docs
+    return lines.select("doc_id", "row", "line", "name").join(groups, "name"), docs
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_dropped and drop (their numbers, sorted) of documents that lose lines."""
+    """doc_id, row and drop (the dropped lines' numbers, sorted) of documents that lose lines."""
     lines, _ = repeated_lines(docs)
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line") == F.col("keep.line"))
-    return lines.where(~stays).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("row") == F.col("keep.row")) & (F.col("line") == F.col("keep.line"))
+    return lines.where(~stays).groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("drop"))
+
+
+def _with_dropped(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    gone = gone.withColumnsRenamed({"doc_id": "gone_id", "row": "gone_row"})
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text without repeated lines, n_lines, n_dropped for each row.
 
     Null stays null (no lines), the empty text is one line; lines without any word stay.
-    Rows that repeat an id with the same text count as one document; an empty table gives no rows.
+    Rows that repeat an id with the same text count as one document, and with other texts (null ids too)
+    as documents of their own; an empty table gives no rows.
     """
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")
     parts = F.split("text", "\n")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    rows = _with_dropped(_keyed(docs), dropped_lines(docs))
     stay = F.filter(parts, lambda x, i: ~F.array_contains("drop", i.cast("long")))
     return rows.select(
         "doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")).alias("text"),
@@ -296,9 +307,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped (their numbers, comma-joined) for each document."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")
-    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
-    return counted.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
+    docs = table(spark, sf_dir, "documents")
+    counted = _keyed(docs).select("doc_id", "row", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"))
+    return _with_dropped(counted, dropped_lines(docs)).select(
         "doc_id", "n_lines", F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.col("drop").cast("array<string>"), ","), F.lit("")).alias("dropped")
     )

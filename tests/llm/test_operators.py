@@ -377,6 +377,12 @@ def test_short_lines(spark):
     assert got == {1: (texts[0][1], 0), 2: ("\n--\nand", 2), 3: ("ornd and", 1)}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    texts = [(None, "alpha one\nbeta two"), (None, "gamma three\ndelta four"), (7, "beta two\nepsilon five"), (7, "zeta six\neta seven"), (8, "alpha one\ntheta eight")]
+    got = {(r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {("", 2)} | {(t, 0) for _, t in texts[1:]}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
