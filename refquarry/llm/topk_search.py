@@ -63,7 +63,7 @@ def _unpack(row, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Best:
-    """k best (score, id) of each query so far; more score first, then smaller id."""
+    """k best different (score, id) of each query so far; more score first, then smaller id."""
 
     def __init__(self, n: int, k: int):
         self.k = k
@@ -75,11 +75,21 @@ class Best:
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
-        if len(ids) > 4 * self.k:  # ties at the edge all stay for the exact order below
-            edge = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            ids, scores = ids[scores >= edge], scores[scores >= edge]
-        at = np.lexsort((ids, -scores))[: self.k]
-        self.ids[q], self.scores[q] = ids[at], scores[at]
+        most = self.k
+        while True:
+            some_ids, some = ids, scores
+            if len(ids) > 4 * most:  # ties at the edge all stay for the exact order below
+                edge = np.partition(scores, len(scores) - most)[len(scores) - most]
+                some_ids, some = ids[scores >= edge], scores[scores >= edge]
+            at = np.lexsort((some_ids, -some))
+            some_ids, some = some_ids[at], some[at]
+            fresh = np.ones(len(some), bool)
+            fresh[1:] = (some_ids[1:] != some_ids[:-1]) | (some[1:] != some[:-1])
+            some_ids, some = some_ids[fresh][: self.k], some[fresh][: self.k]
+            if len(some) == self.k or len(ids) <= 4 * most:
+                break
+            most *= 4  # repeated rows stand above the edge; look further down
+        self.ids[q], self.scores[q] = some_ids, some
 
 
 def search_block(best: Best, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, step: int = DIMENSION_BLOCK) -> None:

@@ -164,6 +164,18 @@ def test_topk_brute_force(spark):
     assert dict(got) == want
 
 
+def test_topk_repeated_rows(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(r.normal(size=6), 1)]) for i in range(100)]
+    many = rows + [x for x in rows if x[0] % 3 == 0] * 30 + [(i, [8.0] * 6) for i in (101, 102)] * 400
+    df = spark.createDataFrame(many, "vec_id long, embedding array<float>")
+    whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in many}
+    got = defaultdict(list)
+    for x in topk_search.top_k(df, df.where("vec_id % 20 = 0"), k=7).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+    assert dict(got) == {q: sorted(((i, int(v @ whole[q])) for i, v in whole.items() if i != q), key=lambda t: (-t[1], t[0]))[:7] for q in range(0, 100, 20)}
+
+
 # ------------------------------------------------------------------ 5 packing
 
 
