@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from refquarry.functions import rx
 from refquarry.functions.strings import STOPWORDS, accepted_term
 from refquarry.operators.textprep import tokens
 
-#: patterns that one scan takes; they are broadcast, so their number is checked
+#: patterns that one scan takes, about; they are broadcast, so more of them are searched in parts
 MOST_PATTERNS = 10_000
 
 
@@ -76,12 +78,17 @@ def doi_scan(docs: DataFrame) -> DataFrame:
 def pattern_search(lines: DataFrame, patterns: DataFrame, upper_case: bool = True, stopwords=STOPWORDS) -> DataFrame:
     """doc_id, line_no, pattern, reference, left_text, right_text: passages in which a pattern's first match is an acceptable term.
 
-    patterns has columns pattern and regex (group 1: the term), MOST_PATTERNS of them at most.  The
-    longest literal word of each pattern is looked for before its regex is tried.
+    patterns has columns pattern and regex (group 1: the term); parts of about MOST_PATTERNS are dealt by
+    the regex.  The longest literal word of each pattern is looked for before its regex is tried.
     """
-    n = patterns.limit(MOST_PATTERNS + 1).count()
-    if n > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns; search them in parts")
+    parts = max(1, -(-patterns.count() // MOST_PATTERNS))
+    if parts == 1:
+        return _search_part(lines, patterns, upper_case, stopwords)
+    part = F.pmod(F.xxhash64("regex"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [_search_part(lines, patterns.where(part == i), upper_case, stopwords) for i in range(parts)])
+
+
+def _search_part(lines: DataFrame, patterns: DataFrame, upper_case: bool, stopwords) -> DataFrame:
     literal = F.regexp_extract_all(F.regexp_replace("regex", r"\\Q|\\E", " "), F.lit(r"(?<![\\(\[?*+])\b(\p{L}{3,})\b"), F.lit(1))
     anchored = patterns.select("pattern", "regex").withColumn("anchor", F.coalesce(F.array_max(F.transform(literal, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit("")))
     hits = lines.join(F.broadcast(anchored), F.contains("text", "anchor") & F.rlike("text", F.col("regex")))

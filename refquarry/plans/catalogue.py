@@ -619,7 +619,7 @@ def pattern_frequency(spark, sf):
 
 def _frequency(strategy):
     def run(spark, sf):
-        return bootstrap.frequency_bootstrap(_lines(spark, sf), LEARNER_SEEDS, strategy, max_iterations=4)
+        return bootstrap.frequency_bootstrap(_lines(spark, sf), LEARNER_SEEDS, strategy)
 
     return run
 
@@ -669,4 +669,4 @@ def topk_patterns(spark, sf):
 
 @query("reliability_bootstrap")
 def reliability_bootstrap(spark, sf):
-    return bootstrap.reliability_bootstrap(_lines(spark, sf), LEARNER_SEEDS, max_iterations=3)
+    return bootstrap.reliability_bootstrap(_lines(spark, sf), LEARNER_SEEDS)

@@ -1,5 +1,7 @@
 """Literal fixtures of the domain: scalars, the match matrix, contexts, induction, linking and the learners' goldens."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,28 @@ def test_text_preparation(spark):
     assert values(spark, ["a\x07b\n"], textprep.strip_controls) == ["ab\n"]
     docs = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(21)) + "\n\n"), (2, "")], "doc_id long, text string")
     assert [r["doc_id"] for r in textprep.sections(docs).orderBy("doc_id", "section").collect()] == [1, 1, 1, 2]
+
+
+def test_patterns_in_parts(spark, monkeypatch):
+    lines = corpus(spark, 20)
+    patterns = spark.createDataFrame([(p, rf"{p}\s(\S+)") for p in ("find the", "try to", "this short", "Thank", "please try", "in this", "no such")], "pattern string, regex string")
+    find = lambda: sorted(map(tuple, search.pattern_search(lines, patterns, False).collect()))
+    want = find()
+    monkeypatch.setattr(search, "MOST_PATTERNS", 2)
+    assert want and find() == want
+
+
+def test_registered_learners_rounds(spark, monkeypatch):
+    rounds = []
+    for name in ("frequency_bootstrap", "reliability_bootstrap"):
+        learner = getattr(bootstrap, name)
+
+        def told(*args, learner=learner, **more):
+            bound = inspect.signature(learner).bind(*args, **more)
+            bound.apply_defaults()
+            rounds.append(bound.arguments["max_iterations"])
+
+        monkeypatch.setattr(bootstrap, name, told)
+    for name in [f"frequency_bootstrap_{s}" for s in bootstrap.STRATEGIES] + ["reliability_bootstrap"]:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rounds == [10] * 5
