@@ -213,10 +213,10 @@ class Packer:
                 yield from self._place()
 
 
-def _pack(source: str, length: int, segments: int):
+def _pack(source: str, length: int, segments: int, loss: int):
     def run(batches):
         encoder = encoder_of(source)
-        packer = Packer(TaskContext.get().partitionId() << 40, length, segments, length)
+        packer = Packer(TaskContext.get().partitionId() << 40, length, segments, loss)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
         def batch_of(rows):
@@ -229,10 +229,11 @@ def _pack(source: str, length: int, segments: int):
         rows = []
         for batch in batches:
             keys, blobs = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
+            loss_from = batch.column("loss_from").to_pylist()
             for a, b in chunks(blobs, 1 << 21):
                 ids, at = encoder.encode(blobs[a:b])
                 for i in range(a, b):
-                    rows.extend(map(row, packer.put(keys[i], np.append(ids[at[i - a] : at[i - a + 1]], np.uint32(END_ID)))))
+                    rows.extend(map(row, packer.put(keys[i], np.append(ids[at[i - a] : at[i - a + 1]], np.uint32(END_ID)), loss_from[i])))
                 if len(rows) > 5000:
                     yield batch_of(rows)
                     rows = []
@@ -249,20 +250,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, loss_from: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone; rows that repeat an id are packed each for themselves
     (null ids too); an empty table gives no rows.  The tokenizer file is read by the driver.
+    A sequence holds at most `loss` loss-bearing tokens (by default as many as tokens).  The column
+    `loss_from` has the place of each text's first loss-bearing token; without it, or where it is null or
+    negative, all of the text's tokens bear loss.
     """
+    if loss is not None and loss < 1:
+        raise ValueError("loss must be 1 or more")
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         source = f.read()
     shipped = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches):
-        return _pack(shipped.value, length, segments)(batches)
+        return _pack(shipped.value, length, segments, length if loss is None else loss)(batches)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = F.lit(0) if loss_from is None else F.greatest(F.lit(0), F.coalesce(F.col(loss_from), F.lit(0)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", first.cast("long").alias("loss_from"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

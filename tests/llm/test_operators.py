@@ -219,6 +219,21 @@ def test_packer_limits():
     assert all(sum(x[1] for x in v) <= 64 and len(v) <= 4 and sum(x[2] for x in v) <= 40 for v in seqs.values())
 
 
+def test_packing_loss_limit(spark):
+    r = random.Random(6)
+    rows = [(k, "a few plain words " * r.randrange(1, 40), r.choice([None, -3, 0, 5, 60, 10**6])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, turn int")
+    first = {k: max(0, f or 0) for k, _, f in rows}
+    seqs, covered = defaultdict(list), Counter()
+    for p in packing.pack(df, length=128, segments=4, loss=50, loss_from="turn").collect():
+        end = p["start"] + p["length"]
+        seqs[p["sequence_id"]].append((p["length"], max(0, end - max(p["start"], first[p["doc_id"]]))))
+        covered[p["doc_id"], p["doc_tokens"]] += p["length"]
+    assert len(covered) == len(rows) and all(n == total for (_, total), n in covered.items())
+    assert all(sum(x[0] for x in v) <= 128 and len(v) <= 4 and sum(x[1] for x in v) <= 50 for v in seqs.values())
+    assert max(sum(x[0] for x in v) for v in seqs.values()) > 50
+
+
 # ------------------------------------------------------------------ 6 exact dedup
 
 
