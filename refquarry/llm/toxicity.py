@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is read clause by clause.  Words become symbols (insult, threat, target, negation, report,
-other); five small transducers are composed, so that an insult leaves as aimed, negated or reported
-according to the words around it.  The weights of a clause's outputs make its score, and a logistic
+stem, other); three small transducers are composed, so that an insult or a learnt stem leaves as
+aimed, negated or reported according to the words around it.  The weights of a clause's outputs make its score, and a logistic
 curve over the clause scores gives the text's.
 
 Base lexicons are fixed; words that mark the toxic class among training labels join the insults, and
@@ -37,7 +37,8 @@ NEGATIONS = "not no never nobody isn't aren't nicht kein keine nie ne pas jamais
 REPORTS = "said says called calls wrote quoted claimed claims reported sagte nannte dit appelé dijo llamó".split()
 
 #: outputs whose weights are fitted, with the weights they start from
-OUTPUTS = {"insult": 1.6, "aimed_insult": 2.2, "negated_insult": 0.5, "reported_insult": 0.8, "threat": 0.0, "aimed_threat": 1.2, "stem": 0.3}
+OUTPUTS = {"insult": 1.6, "aimed_insult": 2.2, "negated_insult": 0.5, "reported_insult": 0.8, "threat": 0.0, "aimed_threat": 1.2, "stem": 0.3, "aimed_stem": 0.4, "negated_stem": 0.1, "reported_stem": 0.2}
+STEMS = tuple(o for o in OUTPUTS if o.endswith("stem"))
 #: further features: stem words beyond the first, and stem words in a hundred words (10 at most)
 FURTHER = {"more_stems": 0.5, "stem_rate": 0.3}
 START_BIAS = -3.0
@@ -77,10 +78,10 @@ def grammar() -> Composed:
     for here, then in (("3", "2"), ("2", "1"), ("1", "s")):  # reaches over two words
         negation |= {(here, x): (then, x) for x in ("other", "target", "report", "threat")}
         negation[here, "negation"] = ("3", "other")
-        negation[here, "insult"] = ("s", "negated_insult")
+        negation |= {(here, x): ("s", f"negated_{x}") for x in ("insult", "stem")}
     negation |= {("2", "threat"): ("s", "other"), ("3", "threat"): ("s", "other")}
-    report = {("s", "report"): ("r", "other"), ("r", "insult"): ("r", "reported_insult"), ("r", "threat"): ("r", "other"), ("r", "report"): ("r", "other")}
-    aim = {("s", "target"): ("a", "other"), ("a", "insult"): ("a", "aimed_insult"), ("a", "threat"): ("a", "aimed_threat"), ("a", "target"): ("a", "other"), ("s", "threat"): ("w", "threat"), ("w", "target"): ("a", "aimed_threat"), ("w", "insult"): ("w", "insult")}
+    report = {("s", "report"): ("r", "other"), ("r", "insult"): ("r", "reported_insult"), ("r", "stem"): ("r", "reported_stem"), ("r", "threat"): ("r", "other"), ("r", "report"): ("r", "other")}
+    aim = {("s", "target"): ("a", "other"), ("a", "insult"): ("a", "aimed_insult"), ("a", "stem"): ("a", "aimed_stem"), ("a", "threat"): ("a", "aimed_threat"), ("a", "target"): ("a", "other"), ("s", "threat"): ("w", "threat"), ("w", "target"): ("a", "aimed_threat"), ("w", "insult"): ("w", "insult")}
     return Composed(Transducer(negation), Transducer(report), Transducer(aim))
 
 
@@ -113,7 +114,8 @@ def features(text: str | None, lexicon: Lexicon, machine: Composed) -> list[floa
             if out in OUTPUTS:
                 found[out] += 1
     x = [float(np.log1p(found[o])) for o in OUTPUTS]
-    return [*x, float(found["stem"] > 1), min(10.0, 100.0 * found["stem"] / max(n, 1))]
+    stems = sum(found[o] for o in STEMS)
+    return [*x, float(stems > 1), min(10.0, 100.0 * stems / max(n, 1))]
 
 
 def _sigmoid(x):

@@ -281,6 +281,13 @@ def test_grammar():
     assert outputs("blurging blurgs") == {"stem"} and outputs("nothing here") == set()
 
 
+def test_stems_in_grammar():
+    lexicon, machine = toxicity.Lexicon([], ["blurg"]), toxicity.grammar()
+    of = lambda text: {o for o, v in zip(toxicity.OUTPUTS, toxicity.features(text, lexicon, machine), strict=False) if v}
+    assert of("you blurging") == {"aimed_stem"} and of("not a blurger") == {"negated_stem"}
+    assert of("mary said blurgs") == {"reported_stem"} and of("not. a blurger") == {"stem"}
+
+
 def test_language(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").toPandas()
