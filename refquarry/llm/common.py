@@ -8,8 +8,10 @@ runs over words.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and there is one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="refquarry-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -48,6 +52,11 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets go of the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def clear(self) -> None:
         try:
             self.drop()
@@ -55,6 +64,18 @@ class Workspace:
             return
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While a job of long texts runs, an Arrow batch has fewer rows than by default, so that a task holds less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0)).cast("int")

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 from collections import Counter
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import SPACES, Workspace, as_bytes, bitmap, byte_table, in_bitmap, mix, shingle_sets, table
+from refquarry.llm.common import SPACES, Workspace, as_bytes, bitmap, byte_table, in_bitmap, mix, shingle_sets, small_batches, table
 from refquarry.llm.components import components
 
 K = 5
@@ -49,9 +48,9 @@ SHARD_TOKENS = 1 << 21
 #: prefix entries that a bucket holds, about
 BUCKET_ENTRIES = 1 << 20
 #: packed entries that a task keeps before it sends them
-SEND_AT = 1 << 20
-#: cost of a probe into a long list against that of reading one entry of a short one
-MU = 0.5
+SEND_AT = 1 << 18
+#: inverted lists with more entries are long: as many of them as the overlap allows are probed and not merged
+LONG = 8
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -186,23 +185,20 @@ def _shared(rows: pa.Table) -> pa.Table:
 
 
 def _heap_merge(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members that stand in at least `least` of the sorted lists, with how often; a few short lists by a heap, many by one sort."""
-    total = sum(map(len, lists))
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if total <= 24:
-        members, counts = [], []
-        for x in heapq.merge(*(a.tolist() for a in lists)):
-            if members and members[-1] == x:
-                counts[-1] += 1
-            else:
-                members.append(x)
-                counts.append(1)
-        ids, n = np.array(members, np.int64), np.array(counts, np.int64)
-    else:
-        ids, n = np.unique(np.concatenate(lists), return_counts=True)
-    keep = n >= least
-    return ids[keep], n[keep]
+    """Members that stand in at least `least` of the sorted lists, with how often."""
+    members, counts, last, n = [], [], -1, 0
+    for x in heapq.merge(*(a.tolist() for a in lists)):
+        if x == last:
+            n += 1
+            continue
+        if n >= least:
+            members.append(last)
+            counts.append(n)
+        last, n = x, 1
+    if n >= least:
+        members.append(last)
+        counts.append(n)
+    return np.array(members, np.int64), np.array(counts, np.int64)
 
 
 class Index:
@@ -211,29 +207,30 @@ class Index:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         at = np.argsort(tokens, kind="stable")
         tokens, self.owner = tokens[at], owner[at]
         edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]])) if len(tokens) else np.zeros(1, np.int64)
         self.tokens, self.start = tokens[edge[:-1]], edge
 
-    def search(self, s: np.ndarray) -> np.ndarray:
-        """Members whose set links with s."""
+    def search(self, s: np.ndarray, but: int = -1) -> np.ndarray:
+        """Members, without the one named, whose set links with s: short lists are merged by a heap, and what the merge leaves is looked up in the long ones."""
         if not len(s) or not len(self.tokens):
             return np.zeros(0, np.int64)
         least = least_overlap(len(s), -(-NUM * len(s) // DEN))
         i = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
         i = i[self.tokens[i] == s]
+        lengths = self.start[i + 1] - self.start[i]
+        other = (lengths > 1) | (self.owner[self.start[i]] != but)
+        i, lengths = i[other], lengths[other]
         if len(i) < least:
             return np.zeros(0, np.int64)
-        lengths = self.start[i + 1] - self.start[i]
         i = i[np.argsort(lengths, kind="stable")]
-        longest = int(lengths.max())
-        skip = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1))) if longest > 16 else 0
+        skip = min(least - 1, int((lengths > LONG).sum()))
         lists = [self.owner[self.start[x] : self.start[x + 1]] for x in i]
         short, long_ = lists[: len(lists) - skip], lists[len(lists) - skip :]
         ids, n = _heap_merge(short, least - skip)
-        fits = (NUM * self.sizes[ids] <= DEN * len(s)) & (NUM * len(s) <= DEN * self.sizes[ids])
+        fits = (NUM * self.sizes[ids] <= DEN * len(s)) & (NUM * len(s) <= DEN * self.sizes[ids]) & (ids != but)
         ids, n = ids[fits], n[fits]
         for k, members in enumerate(long_):
             if not len(ids):
@@ -271,9 +268,9 @@ def _search_shard(members: list, visitors: list):
     """Links that join different components of a shard's members (name, component, set), within them or with visitors."""
     index = Index([m[2] for m in members])
     forest = Forest()
-    for name, component, s in members if not visitors else visitors:
+    for i, (name, component, s) in enumerate(visitors or members):
         mine = component if visitors else name
-        for j in index.search(s).tolist():
+        for j in index.search(s, -1 if visitors else i).tolist():
             other = members[j][1] if visitors else members[j][0]
             if other != mine and forest.join(mine, other):
                 yield name, members[j][0]
@@ -294,11 +291,11 @@ def _search(batches):
         return got
 
     for batch in batches:
-        for shard, role, name, component, s in zip(*(batch.column(c).to_pylist() for c in ("shard", "role", "id", "component", "tokens")), strict=True):
+        for shard, role, name, component, s in zip(*(batch.column(c).to_pylist() for c in ("shard", "role", "id", "component")), _sets(batch), strict=True):
             if shard != key:
                 flush()
                 key, members, visitors, visited = shard, [], [], False
-            (visitors if role else members).append((name, component, np.frombuffer(s, np.uint64)))
+            (visitors if role else members).append((name, component, s))
             if len(visitors) >= SHARD_NODES:  # visitors come after all members; they are searched in blocks
                 flush()
                 visitors, visited = [], True
@@ -308,28 +305,48 @@ def _search(batches):
     yield batch_of()
 
 
-def _tokens(able: np.ndarray):
-    """id and set of the documents whose id may be wanted."""
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents in a table of ids and, where its bitmap is full, of others; texts travel, for they are smaller than their sets."""
+    able = bitmap(ids)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(in_bitmap(able, ids.fill_null(0).to_numpy().view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _sets(batch)], pa.binary())], names=["id", "tokens"])
+            at = batch.column("doc_id")
+            yield batch.filter(pa.array(in_bitmap(able, at.fill_null(0).to_numpy().view(np.uint64)) & at.is_valid().to_numpy(zero_copy_only=False)))
 
-    return run
+    return docs.mapInArrow(run, docs.schema).withColumnRenamed("doc_id", "id")
+
+
+def _in_shards(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """Links of rows (shard, role, id, component) within their shards."""
+    told = _texts(docs, rows.select("id")).join(rows, "id").select("shard", "role", "id", "component", "text")
+    return told.repartition(parts, "shard").sortWithinPartitions("shard", "role", "id").mapInArrow(_search, "a long, b long")
+
+
+def _only(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows whose token is in the table; a bitmap keeps most others out of the join."""
+    able = bitmap(tokens)
 
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(able, batch.column("token").to_numpy().view(np.uint64))))
 
-def _in_shards(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.select("shard", "role", "id", "component", "tokens").repartition(parts, "shard").sortWithinPartitions("shard", "role", "id").mapInArrow(_search, "a long, b long")
+    return rows.mapInArrow(run, rows.schema).join(tokens, "token", "left_semi")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
     Null and blank texts have an empty set and link with nothing; rows that repeat an id count as one
-    document; rows without an id belong to no component (null).  An empty table gives no rows.
+    document; rows without an id belong to no component (null).  An empty table gives no rows.  Long
+    texts count whole; a task holds one shard's sets.  Further columns take no part, whatever their names.
+    Equal sets are tied: the smallest id names the component.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs)
+
+
+def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -342,61 +359,82 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     entries = (of_docs.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) * (DEN - NUM + DEN // WIDER) // DEN
     buckets = max(16, -(-entries // BUCKET_ENTRIES))
     packed = docs.mapInArrow(_pack(hot, int(buckets)), "bucket int, tokens binary, owners binary, nodes binary")
-    shared = packed.groupBy("bucket").applyInArrow(_shared, "node long, token long, df int")
-    shared = ws.cut(shared, "shared")
+    shared = ws.cut(packed.groupBy("bucket").applyInArrow(_shared, "node long, token long, df int"), "shared")
+    del packed
+    ws.release()
 
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("size") * NUM / DEN) / WIDER))
     known_as = reps.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("node"), "id", F.col("s").alias("size"))
-    homes = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("top"), F.count(F.lit(1)).alias("n")).join(known_as, "node")
-    homes = ws.cut(homes.where(F.col("n") >= enough).select("node", "id", "size", F.col("top.token").alias("home")), "homes")
+    homes = shared.groupBy("node").agg(F.max(F.struct("df", "token")).alias("top"), F.count(F.lit(1)).alias("n"), F.sum(F.log2("df")).alias("worth")).join(known_as, "node")
+    homes = ws.cut(homes.where(F.col("n") >= enough).select("node", "id", "size", "worth", F.col("top.token").alias("home")), "homes")
     load = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / SHARD_NODES), F.ceil(F.sum("size") / SHARD_TOKENS)).alias("salts"))
-    active = homes.join(load, "home").select("id", "size", "home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("long").alias("salt"))
+    active = homes.join(load, "home").select("node", "id", "size", "worth", F.struct("home", F.pmod(F.xxhash64("id"), F.col("salts")).cast("long").alias("salt")).alias("shard"), (F.col("salts") > 1).alias("divided"))
     active = ws.cut(active, "active")
-    sets = docs.mapInArrow(_tokens(bitmap(active.select("id"))), "id long, tokens binary").join(active, "id")
-    sets = ws.cut(sets, "sets")
+    ws.drop("homes")
+    ws.release()
 
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    member = sets.select(F.struct("home", "salt").alias("shard"), F.lit(0).alias("role"), "id", F.col("id").alias("component"), "tokens", "home", "salt", "size")
-    links = [ws.cut(_in_shards(member, parts), "within")]
-    divided = active.groupBy("home").agg(F.max("salt").alias("m")).where("m > 0").select("home")
+    member = active.select("shard", F.lit(0).alias("role"), "id", F.col("id").alias("component"))
+    links = [ws.cut(_in_shards(docs, member, parts), "within")]
+    ws.release()
+    divided = active.where("divided")
     if not divided.isEmpty():
         # the sets with most in common with their shard stand for it: among divided homes, each shard's members whose prefix is shared most
-        worth = shared.groupBy("node").agg(F.sum(F.log2("df")).alias("w")).join(homes.select("node", "id"), "node").select("id", "w")
-        ranked = active.join(divided, "home").join(worth, "id")
-        leaders = ranked.groupBy("home", "salt").agg(F.max(F.struct("w", "id")).alias("top")).select(F.col("top.id").alias("id"))
-        led = member.join(leaders, "id").withColumn("shard", F.struct("home", F.lit(-1).cast("long").alias("salt")))
-        links.append(ws.cut(_in_shards(led, parts), "leaders"))
+        leaders = divided.groupBy("shard").agg(F.max(F.struct("worth", "id")).alias("top"))
+        led = leaders.select(F.struct("shard.home", F.lit(-1).cast("long").alias("salt")).alias("shard"), F.lit(0).alias("role"), F.col("top.id").alias("id"), F.col("top.id").alias("component"))
+        links.append(ws.cut(_in_shards(docs, led, parts), "leaders"))
     found = links[0] if len(links) == 1 else links[0].union(links[1])
     first = components(found, ws, "cc1")
     weights = first.groupBy("component").count().withColumnRenamed("count", "w")
-    known = active.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "size", "home", "salt", F.coalesce("component", "id").alias("component"))
-    known = known.join(weights, "component", "left").select("id", "size", "home", "salt", "component", F.struct(F.coalesce("w", F.lit(1)).alias("w"), "component").alias("order"))
-    known = ws.cut(known, "known")
-    placed = shared.select("node", "token").join(homes.select("node", "id").join(known, "id"), "node").select("token", "id", "size", "component", "order", F.struct("home", "salt").alias("shard"))
-    placed = ws.cut(placed, "placed")
-    several = placed.groupBy("token").agg(F.min("order").alias("lo"), F.max("order").alias("hi"), F.min("shard").alias("s0"), F.max("shard").alias("s1")).where("lo <> hi and s0 <> s1").select("token")
-    apart = ws.cut(placed.join(several, "token", "left_semi"), "apart")  # few: a token's nodes mostly share a home
+    known = active.join(first.withColumnRenamed("node", "id"), "id", "left").select("node", "id", "size", "shard", F.coalesce("component", "id").alias("component"))
+    known = ws.cut(known.join(weights, "component", "left").select("node", "id", "size", "shard", "component", F.coalesce("w", F.lit(1)).alias("w")), "known")
+    ws.drop("active")
+    placed = shared.select("node", "token").join(known.select("node", "component", F.xxhash64("shard").alias("at")), "node").groupBy("token")
+    several = placed.agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("at").alias("s0"), F.max("at").alias("s1")).where("c0 <> c1 and s0 <> s1").select("token")
+    several = ws.cut(several, "several")  # few: a token's nodes mostly share a home
+    ws.release()
+    order = F.struct("w", "component").alias("order")
+    apart = ws.cut(_only(several, shared.select("node", "token")).join(known, "node").select("token", "id", "size", "component", "shard", order), "apart")
+    ws.drop("shared")
     there = apart.groupBy("token", F.col("shard").alias("to")).agg(F.max("order").alias("top"), F.min("size").alias("least"), F.max("size").alias("most"))
     sizes_meet = (F.col("least") * NUM <= F.col("size") * DEN) & (F.col("most") * DEN >= F.col("size") * NUM)
     visits = apart.join(there, "token").where((F.col("to") != F.col("shard")) & (F.col("top") > F.col("order")) & sizes_meet)
-    visits = visits.groupBy("id", "size", "component", F.col("to").alias("shard")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("id", "component", "shard")
+    visits = visits.groupBy("id", "size", "component", F.col("to").alias("shard")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("shard", F.lit(1).alias("role"), "id", "component")
     visits = ws.cut(visits, "visits")
+    ws.drop("apart")
     if not visits.isEmpty():
-        component = known.select("id", "component")
-        members = member.drop("component").join(visits.select("shard").distinct(), "shard").join(component, "id").select("shard", "role", "id", "component", "tokens")
-        visitors = sets.select("id", "tokens").join(visits, "id").select("shard", F.lit(1).alias("role"), "id", "component", "tokens")
-        across = ws.cut(_in_shards(members.unionByName(visitors), parts), "across")
+        members = known.join(visits.select("shard").distinct(), "shard").select("shard", F.lit(0).alias("role"), "id", "component")
+        across = ws.cut(_in_shards(docs, members.union(visits), parts), "across")
         first = components(found.union(across), ws, "cc2")
+    for name in ("known", "several", "visits"):
+        ws.drop(name)
     labelled = reps.join(first.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     return of_docs.join(labelled, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows whose document has the smallest id of its component, and rows without an id."""
+    """The rows whose document has the smallest id of its component, and rows without an id; all columns stay."""
     found = ngram_components(docs)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct().alias("gone")
+    kept = docs.alias("kept")
+    return kept.join(gone, F.col("kept.doc_id") == F.col("gone.doc_id"), "left_anti")
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+#: shingle sets, links and the transitive closure of them; quadratic in a group's size, so for small tables
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 75 * (x.n + y.n - met)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
+"""

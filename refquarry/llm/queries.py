@@ -20,6 +20,7 @@ QUERIES = {
 #: the others cannot be said in SQL; tests hold them against brute force, a round trip or held-out labels
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op4_topk_search": topk_search.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
