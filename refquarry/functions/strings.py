@@ -121,7 +121,8 @@ def is_stopword(c: Column, stopwords=STOPWORDS) -> Column:
     """Only punctuation, space and digits; or numeric; or, without punctuation, one character or less, a stopword, or stopwords in a row."""
     word = F.lower(F.trim(F.regexp_replace(c, rx.PUNCT_RUN_JAVA, "")))
     stops = F.array(*[F.lit(s) for s in stopwords])
-    joined = F.exists(stops, lambda s: F.contains(word, s) & (F.array_contains(stops, F.trim(F.replace(word, s, F.lit(" ")))) | (F.replace(word, s, F.lit("")) == "")))
+    some = word.rlike(r"^(?:\s|" + "|".join(sorted(stopwords, key=len, reverse=True)) + ")+$")  # few words get past this
+    joined = some & F.exists(stops, lambda s: F.contains(word, s) & (F.array_contains(stops, F.trim(F.replace(word, s, F.lit(" ")))) | (F.replace(word, s, F.lit("")) == "")))
     return c.rlike(r"^[\p{Punct}\s\d]*$") | F.trim(c).rlike(rf"^(?:{rx.COMPLEX_NUMERIC})$") | (F.length(word) < 2) | F.array_contains(stops, word) | joined
 
 

@@ -45,17 +45,19 @@ def number_score(info, title, target_info=None):
 def catalogue_search(entities: DataFrame, catalogue: DataFrame, key: str = "name", most: int = 1000) -> DataFrame:
     """Catalogue rows whose title holds all words of the entity's name (key name) or whose identifier is the entity's (key identifier), with list_index by identifier; at most `most` each.
 
-    Queries are made distinct first.  The title search joins on the name's longest word among the
-    title's distinct words, so it is an equi-join.
+    Queries are made distinct first.  A hyphenated compound counts as one word in a name, and as one word
+    and its parts in a title.  The title search joins on the name's longest word among the title's
+    distinct words, so it is an equi-join.
     """
     if key == "identifier":
         ids = entities.where("identifier is not null").select("identifier").distinct()
         hits = ids.withColumnRenamed("identifier", "query").join(catalogue, F.col("query") == strip_doi_prefix(F.col("identifier")))
     else:
         words = lambda c: F.array_distinct(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "))
-        asked = entities.where("name <> ''").select(F.col("name").alias("query")).distinct().withColumn("ws", F.filter(words(F.col("query")), lambda w: w != ""))
+        closed = lambda c: F.regexp_replace(c, r"(?<=\p{L})-(?=\p{L})", "")
+        asked = entities.where("name <> ''").select(F.col("name").alias("query")).distinct().withColumn("ws", F.filter(words(closed(F.col("query"))), lambda w: w != ""))
         asked = asked.withColumn("anchor", F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-        titled = catalogue.withColumn("ts", words(F.col("title"))).withColumn("anchor", F.explode("ts"))
+        titled = catalogue.withColumn("ts", F.array_union(words(F.col("title")), words(closed(F.col("title"))))).withColumn("anchor", F.explode("ts"))
         hits = asked.join(titled, "anchor").where(F.size(F.array_except("ws", "ts")) == 0).drop("ws", "ts", "anchor")
     place = F.row_number().over(Window.partitionBy("query", "service").orderBy("identifier")) - 1
     return hits.withColumn("list_index", place).where(F.col("list_index") < most)

@@ -25,13 +25,13 @@ def split_context(text: Column, term: Column) -> tuple[Column, Column]:
 def seed_contexts(lines: DataFrame, seeds: DataFrame, one_per_doc: bool = False) -> DataFrame:
     """doc_id, line_no, seed, left_text, right_text for passages that hold the seed's words as tokens in a row.
 
-    The first word of the seed is an equi-join key on the passage's distinct tokens, so no passage
-    meets seeds whose first word it lacks.
+    The longest word of the seed is an equi-join key on the passage's distinct tokens, so no passage
+    meets seeds whose longest word it lacks, and seeds that begin with a common word do not share a key.
     """
-    found = lines.withColumn("tokens", tokens(F.col("text"))).withColumn("first", F.explode(F.array_distinct("tokens")))
-    asked = seeds.select("seed", tokens(F.col("seed")).alias("words")).withColumn("first", F.get("words", F.lit(0)))
+    found = lines.withColumn("tokens", tokens(F.col("text"))).withColumn("key", F.explode(F.array_distinct("tokens")))
+    asked = seeds.select("seed", tokens(F.col("seed")).alias("asked")).withColumn("key", F.array_max(F.transform("asked", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    hits = found.join(asked, "first").where(F.contains(spaced(F.col("tokens")), spaced(F.col("words"))) & F.contains("text", "seed"))
+    hits = found.join(asked, "key").where(F.contains(spaced(F.col("tokens")), spaced(F.col("asked"))) & F.contains("text", "seed"))
     left, right = split_context(F.col("text"), F.col("seed"))
     out = hits.select("doc_id", "line_no", "seed", left.alias("left_text"), right.alias("right_text"))
     if one_per_doc:
@@ -75,13 +75,34 @@ def doi_scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.trim("match").alias("doi")).distinct()
 
 
+def with_words(lines: DataFrame) -> DataFrame:
+    """Adds words: the distinct runs of letters and digits of each passage.  A learner writes this once."""
+    return lines.withColumn("words", F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+
+
+def required_words(phrase: Column, regex: Column) -> Column:
+    """Whole words that a passage must have: those of the phrase, or, where there is none, literals of the regex that stand between spaces or word bounds outside all groups."""
+    of_phrase = F.filter(F.split(phrase, r"\s+"), lambda w: w.rlike(r"^[\p{L}\p{N}]*\p{L}[\p{L}\p{N}]*$"))
+    flat = regex
+    for _ in range(3):  # groups within groups
+        flat = F.regexp_replace(flat, r"\((?:[^()\\]|\\.)*\)", "#")
+    flat = F.regexp_replace(flat, r"\[[^\]]*\]", "#")
+    edge = r"(?: (?![?*{])|\\s(?![?*{])|\\b)"
+    literals = F.regexp_extract_all(flat, F.lit(rf"(?:^|(?<= )|(?<=\\s)|(?<=\\b))(\p{{L}}{{2,}})(?={edge})"), F.lit(1))
+    of_regex = F.when(flat.contains("|") | flat.contains("(") | flat.contains("\\Q"), F.array().cast("array<string>")).otherwise(literals)
+    return F.array_distinct(F.coalesce(of_phrase, of_regex))
+
+
 def pattern_search(lines: DataFrame, patterns: DataFrame, upper_case: bool = True, stopwords=STOPWORDS) -> DataFrame:
     """doc_id, line_no, pattern, reference, left_text, right_text: passages in which a pattern's first match is an acceptable term.
 
-    patterns has columns pattern and regex (group 1: the term); parts of about MOST_PATTERNS are dealt by
-    the regex.  The longest literal word of each pattern is looked for before its regex is tried.
+    patterns has columns pattern and regex (group 1: the term), and may have phrase, whose plain words
+    the passage must have as whole words.  Parts of about MOST_PATTERNS are dealt by the regex.  A
+    pattern meets only passages that have the rarest of its required words; patterns that require none
+    try every passage.
     """
     parts = max(1, -(-patterns.count() // MOST_PATTERNS))
+    lines = lines if "words" in lines.columns else with_words(lines)
     if parts == 1:
         return _search_part(lines, patterns, upper_case, stopwords)
     part = F.pmod(F.xxhash64("regex"), F.lit(parts))
@@ -89,9 +110,18 @@ def pattern_search(lines: DataFrame, patterns: DataFrame, upper_case: bool = Tru
 
 
 def _search_part(lines: DataFrame, patterns: DataFrame, upper_case: bool, stopwords) -> DataFrame:
-    literal = F.regexp_extract_all(F.regexp_replace("regex", r"\\Q|\\E", " "), F.lit(r"(?<![\\(\[?*+])\b(\p{L}{3,})\b"), F.lit(1))
-    anchored = patterns.select("pattern", "regex").withColumn("anchor", F.coalesce(F.array_max(F.transform(literal, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"], F.lit("")))
-    hits = lines.join(F.broadcast(anchored), F.contains("text", "anchor") & F.rlike("text", F.col("regex")))
+    phrase = F.col("phrase") if "phrase" in patterns.columns else F.lit(None).cast("string")
+    asked = patterns.select("pattern", "regex", required_words(phrase, F.col("regex")).alias("required"))
+    words = asked.select(F.explode("required").alias("anchor")).distinct()
+    exploded = lines.withColumn("anchor", F.explode("words"))
+    common = exploded.select("anchor").join(F.broadcast(words), "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.withColumn("anchor", F.explode("required")).join(common, "anchor").groupBy("pattern", "regex", "required").agg(F.min(F.struct("n", "anchor"))["anchor"].alias("anchor"))
+    found = F.rlike("text", F.col("regex"))
+    columns = ["doc_id", "line_no", "text", "pattern", "regex"]
+    hits = exploded.join(F.broadcast(rarest), "anchor").where((F.size(F.array_except("required", "words")) == 0) & found).select(columns)
+    loose = asked.where(F.size("required") == 0)
+    if not loose.isEmpty():
+        hits = hits.union(lines.crossJoin(F.broadcast(loose)).where(found).select(columns))
     hits = hits.withColumn("reference", F.expr("regexp_extract(text, regex, 1)"))
     hits = hits.withColumn("reference", F.trim("reference")).where(accepted_term(F.col("reference"), upper_case, stopwords))
     left, right = split_context(F.col("text"), F.col("reference"))

@@ -225,53 +225,39 @@ def numeric_info_sorted(spark, sf):
     return _orders(spark, sf).select("o_orderkey", F.array_join(info, "|").alias("info"), numeric.best_info(numeric.numeric_info(F.col("text"))).alias("best"), F.array_join(numeric.numbers(F.col("text")), "|").alias("numbers"))
 
 
-# Mentions, titles and the relations between them (S same, P part of, U superset of, PU both).
-TITLES = (
-    "Studierendensurvey 2000/01", "Studierendensurvey 2001", "German Social Survey (ALLBUS) Cumulative File, 1980, 1982, 1984, 1986", "German Social Survey (ALLBUS) Cumulative File, 1980-1992",
-    "German Social Survey (ALLBUS) Cumulative File, 1980, 1992", "German Social Survey (ALLBUS) Cumulative File, 1980, 1996", "German Social Survey (ALLBUS) Cumulative File, 1980 - 1996",
-    "German Social Survey (ALLBUS) Cumulative File, 1980 1996", "German Social Survey (ALLBUS) Cumulative File, 1980-1990", "Ausländerumfrage 1982 (1. Welle: Haushaltsvorstände)", "SFB580-B2 Betriebspanel",
-    "USICA-Jugend-Studie (Panel: 2. Welle 1979)", "Ausländer in Deutschland 2000 - 2. Welle", "CBS News Monthly Poll #2, May 1999", "Eurobarometer 54.1 (2000)",
-)
-MATRIX = {
-    "1996/08": ". . . . . P P P . . . . . . .", "1982": ". . P P . . P . P S . . . . .", "1982   -   1983": ". . P P . . P . P U . . . . .", "85/82": ". . P P . . P . P P . . . . .",
-    "54.1": ". . . . . . . . . . . . . . S", "2000, 2002": "P . . . . . . . . . . . P . P", "2-4": ". . . . . . . . . . S U S U .", "2, 3": ". . . . . . . . . . P P P P .",
-}
-_RELATION = {"S": numeric.SAME, "P": numeric.PART, "U": numeric.SUPERSET, ".": None}
-
-
-def title_mentions(title):
-    """The catalogue's numeric information of a title as the scorer sees it."""
-    return numeric.numbers(title)
-
-
-def match_matrix(spark):
-    refs = _names(spark, MATRIX, "reference")
-    titles = _names(spark, TITLES, "title")
-    return refs.crossJoin(F.broadcast(titles)).select("reference", "title", F.array_join(numeric.numeric_match(F.col("reference"), F.col("title")), ",").alias("relations"))
-
-
-@query("numeric_match_matrix", "SELECT * FROM (VALUES " + ", ".join(
-    f"('{r}', '{t}', {'NULL' if _RELATION[c] is None else repr(_RELATION[c])})" for r, row in MATRIX.items() for t, c in zip(TITLES, row.split(), strict=True)) + ") AS t(reference, title, relations)")
-def numeric_match_matrix(spark, sf):
-    return match_matrix(spark)
-
-
 _OVERLAP = """CASE WHEN a0 = b0 AND a1 = b1 THEN 'same_as_temporal' WHEN b0 >= a0 AND b1 <= a1 THEN 'superset_of_temporal'
  WHEN b0 < a0 AND b1 <= a1 AND b1 >= a0 THEN CASE WHEN b1 <> a1 THEN 'part_of_temporal,superset_of_temporal' ELSE 'part_of_temporal' END
  WHEN b0 >= a0 AND b1 > a1 AND b0 <= a1 THEN CASE WHEN b0 <> a0 THEN 'part_of_temporal,superset_of_temporal' ELSE 'part_of_temporal' END
  WHEN b0 <= a0 AND b1 >= a1 THEN 'part_of_temporal' END"""
 
 
-@query("temporal_overlap_join", f"""WITH r AS (SELECT o_custkey AS k, min(year(o_orderdate)) AS a0, max(year(o_orderdate)) AS a1 FROM orders GROUP BY o_custkey),
-g AS (SELECT (o_custkey % 50)::BIGINT AS g, o_orderpriority AS p, min(year(o_orderdate)) + 1 AS b0, max(year(o_orderdate)) AS b1 FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1, 2)
-SELECT k, g, p, {_OVERLAP} AS relations FROM r JOIN g ON k % 50 = g AND b0 <= b1 AND a0 <= b1 AND b0 <= a1""")
-def temporal_overlap_join(spark, sf):
+#: years of orders by customer (r), and by district of fifty and priority (g)
+_YEARS = """r AS (SELECT o_custkey AS k, min(year(o_orderdate)) AS a0, max(year(o_orderdate)) AS a1 FROM orders GROUP BY o_custkey),
+g AS (SELECT (o_custkey % 50)::BIGINT AS g, o_orderpriority AS p, month(o_orderdate) AS m, min(year(o_orderdate)) + 1 AS b0, max(year(o_orderdate)) AS b1 FROM orders GROUP BY 1, 2, 3)"""
+
+
+def _years(spark, sf):
     o = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
     r = o.groupBy(F.col("o_custkey").alias("k")).agg(F.min("y").alias("a0"), F.max("y").alias("a1"))
-    g = o.where("o_orderkey % 7 = 0").groupBy((F.col("o_custkey") % 50).alias("g"), F.col("o_orderpriority").alias("p")).agg((F.min("y") + 1).alias("b0"), F.max("y").alias("b1")).where("b0 <= b1")
-    pairs = r.join(g, (F.col("k") % 50 == F.col("g")) & (F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")))
+    g = o.groupBy((F.col("o_custkey") % 50).alias("g"), F.col("o_orderpriority").alias("p"), F.month("o_orderdate").alias("m")).agg((F.min("y") + 1).alias("b0"), F.max("y").alias("b1")).where("b0 <= b1")
+    return r.join(g, F.col("k") % 50 == F.col("g"))
+
+
+@query("temporal_overlap_join", f"WITH {_YEARS} SELECT k, g, p, m, {_OVERLAP} AS relations FROM r JOIN g ON k % 50 = g AND b0 <= b1 AND a0 <= b1 AND b0 <= a1")
+def temporal_overlap_join(spark, sf):
+    pairs = _years(spark, sf).where((F.col("a0") <= F.col("b1")) & (F.col("b0") <= F.col("a1")))
     found = numeric.overlap(*[F.col(c).cast("string") for c in ("a0", "a1", "b0", "b1")], invert=False)
-    return pairs.select("k", "g", "p", F.array_join(F.array_sort(found), ",").alias("relations"))
+    return pairs.select("k", "g", "p", "m", F.array_join(F.array_sort(found), ",").alias("relations"))
+
+
+@query("numeric_match_years", f"""WITH {_YEARS} SELECT k, g, p, m, CASE WHEN a0 = a1 AND b0 = b1 THEN CASE WHEN a0 = b0 THEN 'same_as_temporal' END
+ WHEN a0 = a1 THEN CASE WHEN a0 BETWEEN b0 AND b1 THEN 'part_of_temporal' END WHEN b0 = b1 THEN CASE WHEN b0 BETWEEN a0 AND a1 THEN 'superset_of_temporal' END ELSE {_OVERLAP} END AS relations FROM r JOIN g ON k % 50 = g AND b0 <= b1""")
+def numeric_match_years(spark, sf):
+    """Mentions of one year or a range of years against each other: a customer's years and those of a district."""
+    s = lambda c: F.col(c).cast("string")
+    mention = lambda a, b, dash: F.when(F.col(a) == F.col(b), s(a)).otherwise(F.concat(s(a), F.lit(dash), s(b)))
+    found = numeric.numeric_match(mention("a0", "a1", "-"), mention("b0", "b1", " bis "))
+    return _years(spark, sf).select("k", "g", "p", "m", F.array_join(found, ",").alias("relations"))
 
 
 # ------------------------------------------------------------------ text preparation
@@ -454,13 +440,13 @@ def metadata_entities(spark, sf):
 
 
 # entities are nations' regions with a year; the catalogue has part names under two services
-_ENTITIES = """ent AS (SELECT p_partkey AS id, 'e' || p_partkey AS entity_id, p_name AS name, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (1990 + p_size % 20)::VARCHAR END AS year, '10.5/' || (p_partkey + 1) AS identifier FROM part WHERE p_partkey % 10 = 0),
+_ENTITIES = """ent AS (SELECT p_partkey AS id, 'e' || p_partkey AS entity_id, p_name AS name, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (1990 + p_size % 20)::VARCHAR END AS year, '10.5/' || (p_partkey + 1) AS identifier FROM part),
 cat AS (SELECT DISTINCT '10.5/' || p_partkey AS identifier, p_name || ' survey ' || CASE WHEN p_size % 2 = 0 THEN (1990 + p_size % 20)::VARCHAR ELSE '' END AS title,
  CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS service, CASE WHEN p_size % 2 = 0 THEN 0.8 ELSE 0.6 END AS rel, CASE WHEN p_size % 2 = 0 THEN (1990 + p_size % 20)::VARCHAR END AS ty FROM part)"""
 
 
 def _entities(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 10 = 0")
+    p = table(spark, sf, "part")
     year = (F.lit(1990) + F.col("p_size") % 20).cast("string")
     return p.select(
         F.concat(F.lit("e"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(year)).alias("numeric_info"),
@@ -518,33 +504,33 @@ def doi_links(spark, sf):
     return _link_rows(link.doi_links(_entities(spark, sf), _catalogue(spark, sf), _services(spark)))
 
 
-@query("ontology_links", f"""WITH {_HITS}, {_MULTI}, o AS (SELECT 'dataset_' || translate('10.5/' || p_partkey, '/.', '') AS k FROM part WHERE p_partkey % 3 = 0)
+@query("ontology_links", f"""WITH {_HITS}, {_MULTI}, o AS (SELECT 'dataset_' || translate('10.5/' || p_partkey, '/.', '') AS k FROM part)
 SELECT * FROM m UNION ALL SELECT identifier, k, 'same_as', 1.0 FROM (SELECT DISTINCT identifier FROM m) JOIN o ON k = 'dataset_' || translate(identifier, '/.', '')""")
 def ontology_links(spark, sf):
     links = link.multi_match_links(_entities(spark, sf), _catalogue(spark, sf), _services(spark))
-    ontology = table(spark, sf, "part").where("p_partkey % 3 = 0").select(strings.ontology_key(F.concat(F.lit("10.5/"), F.col("p_partkey").cast("string"))).alias("entity_id"))
+    ontology = table(spark, sf, "part").select(strings.ontology_key(F.concat(F.lit("10.5/"), F.col("p_partkey").cast("string"))).alias("entity_id"))
     return _link_rows(link.ontology_links(links, ontology))
 
 
-@query("gold_links", f"""WITH {_HITS}, {_MULTI}, g AS (SELECT 'g' || p_partkey AS gid, p_name AS gname, p_brand AS gtag, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (1990 + p_size % 20)::VARCHAR END AS gyear FROM part WHERE p_partkey % 4 = 0),
-t AS (SELECT ent.*, p_brand AS tag FROM ent JOIN part ON p_partkey = id), x AS (SELECT entity_id, gid FROM t JOIN g ON name = gname AND tag = gtag AND year IS NOT DISTINCT FROM gyear)
+@query("gold_links", f"""WITH {_HITS}, {_MULTI}, g AS (SELECT 'g' || p_partkey AS gid, p_name AS gname, p_brand AS gtag, (1990 + p_size % 15)::VARCHAR AS gyear FROM part),
+t AS (SELECT ent.*, p_brand AS tag FROM ent JOIN part ON p_partkey = id), x AS (SELECT entity_id, gid FROM t JOIN g ON name = gname AND tag = gtag AND year = gyear)
 SELECT entity_id, gid AS identifier, 'same_as' AS relations, 1.0::DOUBLE AS confidence FROM x UNION ALL SELECT * FROM m WHERE entity_id NOT IN (SELECT entity_id FROM x)""")
 def gold_links(spark, sf):
     e = _entities(spark, sf)
-    year = (F.lit(1990) + F.col("p_size") % 20).cast("string")
-    gold = table(spark, sf, "part").where("p_partkey % 4 = 0").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("tags"), F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(year)).alias("numeric_info"))
+    year = (F.lit(1990) + F.col("p_size") % 15).cast("string")
+    gold = table(spark, sf, "part").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.array("p_brand").alias("tags"), F.array(year).alias("numeric_info"))
     return _link_rows(link.gold_links(e, gold, link.multi_match_links(e, _catalogue(spark, sf), _services(spark))))
 
 
-@query("link_csv", rf"""WITH {_REFS}, e AS (SELECT 'p' || p_partkey AS id, p_partkey % 100 AS k, p_name AS name, '10.5/' || p_partkey || ';x' AS ids, CASE WHEN p_size % 2 = 0 THEN (1990 + p_size)::VARCHAR ELSE ' ' END AS nums, p_partkey FROM part)
+@query("link_csv", rf"""WITH {_REFS}, e AS (SELECT 'p' || p_partkey AS id, greatest(p_partkey - 1, 1) AS k, p_name AS name, '10.5/' || p_partkey || ';x' AS ids, CASE WHEN p_size % 2 = 0 THEN (1990 + p_size)::VARCHAR ELSE ' ' END AS nums, p_partkey FROM part)
 SELECT 'l' || a.p_partkey AS link_id, a.ids || '|' || a.name || '|' || doc_id || '|' || b.ids || '|' || b.name || '|' || b.nums || '|' || left_text || '**[  ' || reference || '  ]**' || right_text AS line
-FROM e a JOIN e b ON b.p_partkey = a.k + 1 JOIN refs ON doc_id = a.p_partkey""")
+FROM e a JOIN e b ON b.p_partkey = a.k JOIN refs ON doc_id = a.p_partkey""")
 def link_csv(spark, sf):
     p = table(spark, sf, "part")
     s = lambda c: c.cast("string")
     key = s(F.col("p_partkey"))
     entities = p.select(F.concat(F.lit("p"), key).alias("entity_id"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("10.5/"), key), F.lit("x")).alias("identifiers"), F.when(F.col("p_size") % 2 == 0, F.array(s(F.lit(1990) + F.col("p_size")))).otherwise(F.array().cast("array<string>")).alias("numeric_info"))
-    links = p.select(F.concat(F.lit("l"), key).alias("link_id"), F.concat(F.lit("p"), key).alias("from_entity"), F.concat(F.lit("p"), s(F.col("p_partkey") % 100 + 1)).alias("to_entity"), F.concat(F.lit("ref"), key).alias("link_reason"))
+    links = p.select(F.concat(F.lit("l"), key).alias("link_id"), F.concat(F.lit("p"), key).alias("from_entity"), F.concat(F.lit("p"), s(F.greatest(F.col("p_partkey") - 1, F.lit(1)))).alias("to_entity"), F.concat(F.lit("ref"), key).alias("link_reason"))
     return sinks.link_lines(links, entities, _refs(spark, sf))
 
 
@@ -568,20 +554,20 @@ def intersection_eval(spark, sf):
     return found.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("distinct_union_diff", f"WITH {PASSAGES} SELECT DISTINCT text FROM p WHERE text NOT IN (SELECT text FROM benchmark) UNION SELECT text FROM benchmark WHERE item_id % 2 = 0")
+@query("distinct_union_diff", f"WITH {PASSAGES} SELECT DISTINCT text FROM p WHERE text NOT IN (SELECT text FROM benchmark) UNION SELECT text FROM benchmark")
 def distinct_union_diff(spark, sf):
     lines, items = _lines(spark, sf).select("text"), table(spark, sf, "benchmark")
-    return lines.join(items.select("text"), "text", "left_anti").union(items.where("item_id % 2 = 0").select("text")).distinct()
+    return lines.join(items.select("text"), "text", "left_anti").union(items.select("text")).distinct()
 
 
-@query("keyword_top5", r"""WITH e AS (SELECT DISTINCT p_partkey, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM part WHERE p_partkey % 20 = 0),
+@query("keyword_top5", r"""WITH e AS (SELECT DISTINCT p_partkey, unnest(list_distinct(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM part),
 t AS (SELECT DISTINCT label, unnest(list_distinct(list_filter(regexp_split_to_array(lower(label), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM (SELECT DISTINCT p_type AS label FROM part)),
 n AS (SELECT p_partkey, count(*) AS n FROM e GROUP BY 1), m AS (SELECT label, count(*) AS m FROM t GROUP BY 1), b AS (SELECT p_partkey, label, count(*) AS b FROM e JOIN t USING (w) GROUP BY 1, 2),
 s AS (SELECT p_partkey, label, b / (n + m - b) AS score FROM b JOIN n USING (p_partkey) JOIN m USING (label)), r AS (SELECT *, (row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, label))::INT AS rank FROM s)
 SELECT p_partkey AS entity_id, label, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def keyword_top5(spark, sf):
     p = table(spark, sf, "part")
-    entities = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_type").alias("abstract"))
+    entities = p.select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_type").alias("abstract"))
     found = link.keywords(entities, p.select(F.col("p_type").alias("label")).distinct())
     return found.select("entity_id", "label", F.round("score", 6).alias("score"), "rank")
 

@@ -13,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to spark.checkpoint.dir (a folder of our own where that is unset) and reads it again: short lineage that survives lost executors."""
+    """Writes df to spark.checkpoint.dir (a folder of our own where that is unset and there is one machine only) and reads it again: short lineage that survives lost executors."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("refquarry.scratch.dir", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="refquarry-")
             spark.conf.set("refquarry.scratch.dir", root)
     path = f"{root.rstrip('/')}/refquarry-{name}-{uuid.uuid4().hex}"
