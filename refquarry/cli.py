@@ -9,13 +9,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from refquarry.plans.pipelines import Job, links, references
+from refquarry.plans.runner import coerced
 from refquarry.sources import readers, sinks
 
 
 def job_of(text: str) -> Job:
-    """Unknown fields are an error."""
-    fields = json.loads(text)
-    return Job(**{k: tuple(v) if isinstance(v, list) else v for k, v in fields.items()})
+    """Values may be text; unknown fields are an error."""
+    return coerced(Job, json.loads(text))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -13,6 +13,10 @@ COMPLEX_NUMERIC = rf"{NUM}(?:\s*(?:[,;/&\\]|and|und|-|–|bis|to|till|until)\s*{
 DOI = r"10\.\d+?/\S+[^[:punct:]]"
 DOI_JAVA = r"10\.\d+?/\S+\P{Punct}"
 URL = r"\b(?:https?|ftp|file)://[-a-zA-Z0-9+&@#/%?=~_|!:,.;]*[-a-zA-Z0-9+&@#/%=~_|]|www\d?\..*?\.[^\d\s]+"
+#: what stands before a match on its line, and after it
+LEFT_CONTEXT, RIGHT_CONTEXT = r"([^\n]*?)", r"([^\n]*)"
+#: any run without white space, one in the middle of a context, and one at its end
+WORD, ATOMIC_WORD, LAST_WORD = r"\S+", r"\S+\s", r"\S+$"
 STUDY_NGRAM = r"\S*?\s?\S+?\s?\S+?\s?\S+?\s?\S*?"
 PUNCT_RUN_JAVA = r"\p{Punct}+"
 PUNCT_RUN_RE2 = r"[[:punct:]]+"

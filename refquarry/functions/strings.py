@@ -69,6 +69,30 @@ def right_words(c: Column) -> Column:
     return F.array_prepend(F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+"), F.when(first.rlike(r"\s"), first).otherwise(F.lit("")))
 
 
+def plain_context(left: Column, ref: Column, right: Column) -> Column:
+    """A reference within its context, without marks."""
+    return F.concat(left, ref, right)
+
+
+def lower_tagged(c: Column) -> Column:
+    """A tagged word (word, tag) with its word in lower case."""
+    return F.struct(F.lower(c["word"]).alias("word"), c["tag"].alias("tag"))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, the second's value stands."""
+    return F.map_zip_with(F.coalesce(a, F.create_map().cast("map<string,double>")), F.coalesce(b, F.create_map().cast("map<string,double>")), lambda _, x, y: F.coalesce(y, x))
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    return F.when(total > 0, F.floor(done * 100 / total)).otherwise(F.lit(100)).cast("int")
+
+
+def content_path(root: str, file_id: Column) -> Column:
+    """Where a file with this digest lies below root; null unless it is 32 or 40 letters and digits."""
+    return F.when(file_id.rlike("^(?:[0-9A-Za-z]{32}|[0-9A-Za-z]{40})$"), F.concat(F.lit(root.rstrip("/") + "/"), file_id))
+
+
 def pretty(left: Column, ref: Column, right: Column) -> Column:
     return F.concat(left, F.lit("**[  "), ref, F.lit("  ]**"), right)
 

@@ -108,6 +108,38 @@ def gold_links(entities: DataFrame, gold: DataFrame, fallback: DataFrame) -> Dat
     return same.unionByName(fallback.join(same.select("entity_id").distinct(), "entity_id", "left_anti"))
 
 
+def outgoing_gold_links(same: DataFrame, gold_entities: DataFrame, outgoing: DataFrame) -> DataFrame:
+    """Links that lead from gold entities onwards, copied to the entities that are the same (same: entity_id, identifier of the gold entity).
+
+    outgoing has from_entity, to_entity, relations, confidence, tags; a link counts when its tags meet the gold entity's.
+    """
+    g = gold_entities.select(F.col("entity_id").alias("from_entity"), F.col("tags").alias("gold_tags"))
+    onwards = outgoing.join(g, "from_entity").where(F.arrays_overlap("tags", "gold_tags"))
+    pairs = same.select("entity_id", F.col("identifier").alias("from_entity")).distinct()
+    return pairs.join(onwards, "from_entity").select("entity_id", F.col("to_entity").alias("identifier"), "relations", "confidence")
+
+
+def dataset_entities(links: DataFrame, results: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, links): a dataset entity for each target that links have, named by its title, and the links led to it.
+
+    results: identifier, title; sources: entity_id, numeric_info, tags of the linked entities.  A dataset has
+    the title's first numeric mention and the tags of all that link to it.
+    """
+    key = F.sha2(F.concat(F.lit("dataset|"), F.col("identifier")), 256)
+    tags = links.join(sources, "entity_id").groupBy("identifier").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    titles = results.groupBy("identifier").agg(F.min("title").alias("name"))
+    entities = tags.join(titles, "identifier").select(
+        key.alias("entity_id"), "name", F.when(F.size(numbers(F.col("name"))) > 0, F.slice(numbers(F.col("name")), 1, 1)).otherwise(F.array().cast("array<string>")).alias("numeric_info"), "identifier", "tags", F.lit("dataset").alias("entity_type")
+    )
+    return entities, links.select("entity_id", key.alias("to_entity"), "relations", "confidence")
+
+
+def imported_ontology_links(entities: DataFrame) -> DataFrame:
+    """same_as links of imported entities that have identifiers to the ontology key of the first."""
+    have = entities.where(F.size(F.coalesce("identifiers", F.array().cast("array<string>"))) > 0)
+    return have.select("entity_id", ontology_key(strip_doi_prefix(F.get("identifiers", F.lit(0)))).alias("identifier"), F.array(F.lit("same_as")).alias("relations"), F.lit(1.0).alias("confidence"))
+
+
 def publication_links(entities: DataFrame) -> DataFrame:
     return entities.select(F.col("doc_id").cast("string").alias("entity_id"), F.col("entity_id").alias("identifier"), F.array(F.lit("references")).alias("relations"), F.col("entity_reliability").alias("confidence"))
 

@@ -70,6 +70,48 @@ def regex_scan(docs: DataFrame, pattern: str, group: int = 1) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(group))).alias("place", "match"))
 
 
+def regex_contexts(docs: DataFrame, pattern: str, left: int = 1, term: int = 2, right: int = 3) -> DataFrame:
+    """doc_id, place, left_text, reference, right_text: all matches of a pattern, whose groups are the contexts and the term; empty contexts are one space, terms are trimmed."""
+    every = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (left, term, right)]
+    found = docs.select("doc_id", F.posexplode(F.arrays_zip(*[e.alias(n) for e, n in zip(every, ("l", "t", "r"), strict=True)])).alias("place", "m"))
+    blank = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(" ")).otherwise(c)
+    return found.select("doc_id", "place", blank(F.col("m.l")).alias("left_text"), F.trim("m.t").alias("reference"), blank(F.col("m.r")).alias("right_text"))
+
+
+def doi_contexts(docs: DataFrame) -> DataFrame:
+    """DOIs with the line around them, in each place that they stand."""
+    return regex_contexts(docs, rx.LEFT_CONTEXT + f"({rx.DOI_JAVA})" + rx.RIGHT_CONTEXT)
+
+
+def bounded_regex_scan(docs: DataFrame, pattern: str, seconds: float = 750.0) -> DataFrame:
+    """doc_id, place, match, error: matches of a pattern that may take long, each text for a limited time; a text beyond it has a row with the error alone."""
+    import pandas as pd
+    import regex
+
+    compiled = regex.compile(pattern)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                try:
+                    found = [m.group() for m in compiled.finditer(text or "", timeout=seconds)]
+                    rows += [(doc_id, k, m, None) for k, m in enumerate(found)]
+                except TimeoutError:
+                    rows.append((doc_id, None, None, f"no answer within {seconds} s"))
+            yield pd.DataFrame(rows, columns=["doc_id", "place", "match", "error"]).astype({"place": "Int32"})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, place int, match string, error string")
+
+
+def escaped_query(c: Column) -> Column:
+    """A term as an index query takes it: trimmed, its operators escaped twice, in quotes if it has a space."""
+    escape = lambda x: F.regexp_replace(x, r'([+\-!(){}\[\]^"~*?:\\/&|])', r"\\$1")
+    term = escape(escape(F.trim(c)))
+    return F.when(term.rlike(r"\s"), F.concat(F.lit('"'), term, F.lit('"'))).otherwise(term)
+
+
 def doi_scan(docs: DataFrame) -> DataFrame:
     found = regex_scan(docs, rx.DOI_JAVA)
     return found.select("doc_id", F.trim("match").alias("doi")).distinct()

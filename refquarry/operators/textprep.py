@@ -22,8 +22,12 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\S+)"), F.lit(1))
 
 
-def sections(docs: DataFrame, lines: int = SECTION_LINES) -> DataFrame:
-    """doc_id, section, text: runs of `lines` lines; empty lines at the end vanish."""
+def sections(docs: DataFrame, lines: int = SECTION_LINES, strict_compat: bool = False) -> DataFrame:
+    """doc_id, section, text: runs of `lines` lines; empty lines at the end vanish; strict_compat adds an empty section after a last one that is full."""
+    if strict_compat:
+        n = F.size(F.split(F.regexp_replace("text", r"\n+$", ""), "\n"))
+        full = docs.where(n % lines == 0).select("doc_id", F.floor(n / lines).alias("section"), F.lit("").alias("text"))
+        return sections(docs, lines).unionByName(full)
     trimmed = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"\n+$", ""), "\n")).alias("line_no", "line"))
     parts = trimmed.groupBy("doc_id", F.floor(F.col("line_no") / lines).alias("section")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
     return parts.select("doc_id", "section", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
@@ -87,6 +91,39 @@ def not_yet(docs: DataFrame, done: DataFrame) -> DataFrame:
     return docs.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+#: media types that a step takes
+ACCEPTED = {"extract": ("application/pdf",), "search": ("text/plain",), "remove_bib": ("text/plain",), "tokenize": ("text/plain",), "read_xml": ("text/xml",)}
+
+
+def media_guard(files: DataFrame, step: str) -> tuple[DataFrame, DataFrame]:
+    """(files that the step takes, the others with status FAILED and why)."""
+    fits = F.coalesce(F.col("media_type").isin(*ACCEPTED[step]), F.lit(False))
+    return files.where(fits), files.where(~fits).select("*", F.lit("FAILED").alias("status"), F.concat(F.lit(f"{step} does not take "), F.coalesce("media_type", F.lit("files of no type"))).alias("error"))
+
+
+def planned_steps(files: DataFrame, remove_bib: bool = True, tokenizer: str | None = "STANFORD") -> DataFrame:
+    """Adds steps: what each file still needs, by its media type and its provenance tags; a file tokenised another way is left alone and warned about."""
+    has = lambda tag: F.array_contains("tags", tag)
+    other = F.exists("tags", lambda t: t.startswith("TOKENIZED_") & (t != f"TOKENIZED_{tokenizer}"))
+    one = lambda test, step: F.when(test, F.lit(step))
+    steps = [one(F.col("media_type") == "application/pdf", "extract"), one(~has("BIB_REMOVED") & F.lit(remove_bib), "remove_bib"), one(F.lit(tokenizer is not None) & ~has(f"TOKENIZED_{tokenizer}") & ~other, "tokenize")]
+    planned = files.withColumn("steps", F.filter(F.array(*steps), lambda s: s.isNotNull()))
+    return planned.withColumn("warning", F.when(other, F.lit("tokenised another way")))
+
+
+def model_tokens(docs: DataFrame, tokenizer) -> DataFrame:
+    """doc_id, text of documents tokenised by a plug-in (text -> list of sentences, each a list of tokens): a space before each token, a line for each sentence."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            text = ["\n".join("".join(f" {t}" for t in sentence) for sentence in tokenizer(x or "")) for x in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": text})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string")
+
+
 def chunks_of_tags(rows: DataFrame) -> DataFrame:
     """Phrase chunks of tagger output (doc_id, line_no, line = word<TAB>tag<TAB>lemma, or <TAG> and </TAG>)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")

@@ -405,12 +405,6 @@ def annotations_parse(spark, sf):
     return readers.annotations(lines.unionByName(heads))
 
 
-@query("query_urls", """SELECT p_partkey, '?q=title:' || replace(p_name, ' ', '%20') || '&lang=en&mdlang=de&max=600' AS portal, 'select/?q=title:"' || replace(p_name, ' ', '%20') || '"&start=0&rows=1000&fl=doi,title&wt=json' AS solr,
- '?query=title:"' || replace(p_name, ' ', '%20') || '"%20AND%20type:"dataset"&start=0&rows=1000&sort=score&order=desc' AS datacite FROM part""")
-def query_urls(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", readers.portal_query(F.col("p_name")).alias("portal"), readers.solr_query(F.col("p_name")).alias("solr"), readers.datacite_query(F.col("p_name")).alias("datacite"))
-
-
 # ------------------------------------------------------------------ entities and links
 
 _REFS = """refs AS (SELECT p_partkey AS doc_id, 'ref' || p_partkey AS ref_id, 'in the ' || (1990 + p_size % 20) || ' wave of ' AS left_text, p_name || CASE WHEN p_size % 3 = 0 THEN ' ' || (1990 + p_size % 15) ELSE '' END AS reference,

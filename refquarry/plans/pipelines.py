@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refquarry.functions.strings import file_stem
 from refquarry.operators import bootstrap, link, search, textprep
 
 LINKERS = {"best": link.best_match_links, "multi": link.multi_match_links, "doi": link.doi_links}
@@ -81,6 +82,11 @@ def references(docs: DataFrame, job: Job, patterns: DataFrame | None = None) ->
     return found.select(key.alias("ref_id"), "doc_id", "line_no", "phrase", "reference", left.alias("left_text"), right.alias("right_text"), F.lit(1.0).alias("reliability"))
 
 
+def text_and_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Texts (doc_id, file_name, text) with the publication's metadata record of the same file stem (file_stem, name, language, authors, ...); texts without one stay."""
+    return files.withColumn("file_stem", file_stem(F.col("file_name"))).join(metadata, "file_stem", "left")
+
+
 def links(docs: DataFrame, job: Job, catalogue: DataFrame, services: DataFrame, patterns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(entities, links): repository links are made once for each (name, numeric information), and every reference links its document to its entity."""
     entities = link.metadata_entities(references(docs, job, patterns))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from refquarry.functions import rx
-from refquarry.functions.strings import file_stem, url_param
+from refquarry.functions.strings import file_stem
 
 LINK_FILE = "entity map<string, struct<entityType: string, versionInfo: string, identifiers: array<string>, name: string, reliability: double, tags: array<string>>>, entityLink map<string, struct<confidence: double, entityRelations: array<string>, fromEntity: string, toEntity: string, tags: array<string>>>"
 SOLR = "response struct<numFound: int, docs: array<struct<title: array<string>, doi: array<string>>>>"
@@ -85,14 +85,21 @@ def solr_docs(responses: DataFrame) -> DataFrame:
     return docs.where(F.size("d.doi") > 0).select("service", "list_index", F.get("d.title", F.lit(0)).alias("title"), F.get("d.doi", F.lit(0)).alias("identifier"))
 
 
-def portal_query(name, most: int = 600):
-    return F.concat(F.lit("?q=title:"), url_param(name), F.lit(f"&lang=en&mdlang=de&max={most}"))
+DATACITE = "data array<struct<attributes: struct<doi: string, title: string, titles: array<struct<title: string>>>>>"
 
 
-def solr_query(name, doi=None, rows: int = 1000):
-    fields = F.concat_ws("%20AND%20", F.concat(F.lit('title:"'), url_param(name), F.lit('"')), F.concat(F.lit('doi:"'), doi, F.lit('"')) if doi is not None else F.lit(None).cast("string"))
-    return F.concat(F.lit("select/?q="), fields, F.lit(f"&start=0&rows={rows}&fl=doi,title&wt=json"))
+def datacite_docs(responses: DataFrame) -> DataFrame:
+    """service, list_index, title, identifier of DataCite-style responses (service, json); incomplete records are skipped."""
+    d = responses.select("service", F.posexplode(F.from_json("json", DATACITE)["data"]).alias("list_index", "d")).select("service", "list_index", "d.attributes.*")
+    named = d.withColumn("title", F.coalesce("title", F.get("titles.title", F.lit(0))))
+    return named.where("doi is not null and doi <> '' and title is not null and title <> ''").select("service", "list_index", "title", F.col("doi").alias("identifier"))
 
 
-def datacite_query(name, rows: int = 1000):
-    return F.concat(F.lit('?query=title:"'), url_param(name), F.lit(f'"%20AND%20type:"dataset"&start=0&rows={rows}&sort=score&order=desc'))
+def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of a table that have one of the keys (a table with that column), each once."""
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def gold_names(lines: DataFrame) -> DataFrame:
+    """name: dataset names of a list, a name a line (value); blank lines and notes after # are no names; each name once."""
+    return lines.select(F.trim(F.regexp_replace("value", r"#.*$", "")).alias("name")).where("name <> ''").distinct()
