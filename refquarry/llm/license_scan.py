@@ -2,17 +2,20 @@
 
 Every rolling word pair of a text is hashed and joined to the word pairs of the templates.  A match at
 word i of the text and word j of a template votes for the diagonal i - j.  Votes are added up by
-diagonal, diagonals that lie near each other are merged (words put in or left out), and a merged run
-counts when it covers enough of its template.  The base phrases are templates of their own whose runs
-must be whole and on one diagonal, so their places are exact; the join compares the words beside the
-hash.
+diagonal, and every diagonal is merged with its NEAR next ones (words put in or left out).  The span of
+such a run is verified: votes are taken in the template's order, each only where it lies further on in
+the text than the one before, and those so taken must cover enough of the template; the span is at most
+NEAR words longer than the template.  The base phrases are templates of their own whose runs must be
+whole and on one diagonal, so their places are exact; the join compares the words beside the hash.
 
 The templates are a fixed list; the broadcast side has one row for each of their word pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refquarry.llm.common import table
@@ -35,7 +38,7 @@ NOTICES = {
     "creative commons attribution 4 0 international license": "cc-by-4.0",
     "mozilla public license version 2 0": "mpl-2.0",
 }
-#: a notice's run covers this share of its word pairs; diagonals this near are one run
+#: a notice's verified span covers this share of its word pairs; a run reaches over so many further diagonals
 COVER, NEAR = 0.85, 3
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,15 +58,15 @@ def _pairs(spark: SparkSession) -> DataFrame:
 
 
 def _words(text):
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), NON_WORD), lambda w: w != "")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row.
 
     n_base counts the places of base phrases; first_word and last_word are their smallest and largest
-    start (null without one).  score is the largest share of a template that a run covers (1 with a
-    base phrase).  Null and empty texts have no words; rows that repeat an id with another text are
+    start (null without one).  score is the largest share of a template that a verified span covers (1 with
+    a base phrase).  Long texts count whole.  Further columns take no part, whatever their names.  Null and empty texts have no words; rows that repeat an id with another text are
     told apart by the text's hash, equal rows get equal results; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -75,13 +78,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     wanted = _pairs(spark).withColumnRenamed("pair", "wanted").withColumn("h", F.xxhash64("wanted"))
     votes = rolled.join(F.broadcast(wanted), "h").where("pair = wanted").select("doc_id", "key", "template", "label", "base", "pairs", "j", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
 
-    on_one = votes.groupBy("doc_id", "key", "template", "label", "base", "pairs", "diagonal").agg(F.count(F.lit(1)).alias("n"), F.collect_set("j").alias("js"))
-    w = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
-    runs = on_one.withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEAR) | F.col("base"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("doc_id", "key", "template", "label", "base", "pairs", "run").agg(
-        F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("js")))).alias("covered")
-    ).withColumn("share", F.col("covered") / F.col("pairs"))
-    kept = spans.where((F.col("base") & (F.col("covered") == F.col("pairs"))) | (~F.col("base") & (F.col("share") >= COVER)))
+    starts = F.when(F.col("base"), F.array("diagonal")).otherwise(F.sequence(F.col("diagonal") - NEAR, F.col("diagonal")))
+    runs = votes.select("*", F.explode(starts).alias("start")).groupBy("doc_id", "key", "template", "label", "base", "pairs", "start").agg(F.array_sort(F.collect_set(F.struct("j", (F.col("j") + F.col("diagonal")).alias("i")))).alias("votes"))
+    nothing = F.struct(F.lit(-1).alias("j"), F.lit(-1).alias("i"), F.lit(0).alias("n"))
+    further = lambda at, v: F.when((v["j"] > at["j"]) & (v["i"] > at["i"]), F.struct(v["j"].alias("j"), v["i"].alias("i"), (at["n"] + 1).alias("n"))).otherwise(at)
+    spans = runs.withColumn("share", F.aggregate("votes", nothing, further)["n"] / F.col("pairs"))
+    kept = spans.where(F.col("share") >= F.when(F.col("base"), 1.0).otherwise(COVER))
     is_base = F.col("base")
     found = kept.groupBy("doc_id", "key").agg(
         F.sum(F.when(is_base, 1).otherwise(0)).alias("n_base"),
@@ -109,19 +111,16 @@ def _values() -> str:
 
 ORACLE = rf"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), p AS (
   SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM w
 ), g AS (
   SELECT doc_id, i - 1 AS i, a || ' ' || lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM p
 ), t(template, label, base, pairs, j, wanted) AS (VALUES {_values()}),
-v AS (SELECT DISTINCT doc_id, template, label, base, pairs, j, i - j AS diagonal FROM g JOIN t ON pair = wanted),
-d AS (SELECT DISTINCT doc_id, template, base, diagonal FROM v),
-n AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER o <= {NEAR} IS NOT TRUE THEN 1 ELSE 0 END AS fresh FROM d WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM n),
-s AS (SELECT v.doc_id, v.template, label, v.base, pairs, run, min(v.diagonal) AS start, count(DISTINCT j) AS covered
-      FROM v JOIN r USING (doc_id, template, diagonal) GROUP BY ALL),
-k AS (SELECT *, covered / pairs AS share FROM s WHERE CASE WHEN base THEN covered = pairs ELSE covered / pairs >= {COVER} END),
+v AS (SELECT DISTINCT doc_id, template, label, base, pairs, j, i, unnest(CASE WHEN base THEN [i - j] ELSE range(i - j - {NEAR}, i - j + 1) END) AS start FROM g JOIN t ON pair = wanted),
+r AS (SELECT doc_id, template, label, base, pairs, start, list({{'j': j, 'i': i, 'n': 1}} ORDER BY j, i) AS votes FROM v GROUP BY ALL),
+k AS (SELECT *, list_reduce(votes, lambda a, x: CASE WHEN x.j > a.j AND x.i > a.i THEN {{'j': x.j, 'i': x.i, 'n': a.n + 1}} ELSE a END).n / pairs AS share FROM r
+      WHERE share >= CASE WHEN base THEN 1.0 ELSE {COVER} END),
 f AS (SELECT doc_id, sum(base::int)::bigint AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
              coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
       FROM k GROUP BY doc_id)
