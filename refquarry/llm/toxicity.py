@@ -1,13 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read clause by clause.  Words become symbols (insult, threat, target, negation, report,
-stem, other); three small transducers are composed, so that an insult or a learnt stem leaves as
-aimed, negated or reported according to the words around it.  The weights of a clause's outputs make its score, and a logistic
-curve over the clause scores gives the text's.
+A text is read clause by clause.  Words become symbols (insult, stem, threat, modal, target, negation,
+report, other) and pass five transducers, composed so that each reads what the one before it writes:
+
+* insult: an insult stays one; of learnt stems a clause's first is a suspicion, each further one an insult;
+* threat: a verb of violence after a modal verb is a threat, without one mere violence;
+* negation: what follows a negation within two words is negated, and a threat is gone;
+* reported speech: what follows a verb of saying is reported, and a threat is gone;
+* target: what stands beside somebody addressed is aimed.
+
+A clause's strongest output is its match, whose weight is the clause's score.  A text's score is a
+logistic curve over its matched clauses: each kind's weight times the logarithm of one and the number
+of clauses matched so, and the share of all clauses that are matched.
 
 Base lexicons are fixed; words that mark the toxic class among training labels join the insults, and
-stems that mark it in many inflected forms become a lexicon of their own.  The output weights start from fixed values and are fitted on at most MOST_LABELS labelled rows (features
-only reach the driver).  Texts without any trigger word are never tokenised.
+stems that mark it in many inflected forms become the symbol stem; neither has a weight beside the
+grammar.  Weights start from fixed values and are fitted on at most MOST_LABELS labelled rows (features
+only reach the driver), with at most MOST_LEARNT words and as many stems.  Texts without any trigger
+word are never tokenised.
 """
 
 from __future__ import annotations
@@ -24,7 +34,7 @@ from refquarry.llm.common import Workspace, fold, table
 
 MOST_LABELS = 8000
 #: a learnt insult stands in this share of toxic training texts, and in a tenth of that share or less of the others
-LEARNT_SHARE, LEARNT_LEAST, MOST_LEARNT = 0.10, 4, 100
+LEARNT_SHARE, LEARNT_LEAST, MOST_LEARNT = 0.10, 4, 500
 #: a learnt stem stands at least twice in this share of toxic training texts, begins so many different words, and has so many characters
 STEM_SHARE, STEM_FORMS, STEM_LENGTHS = 0.02, 8, range(3, 9)
 PREDICT_AT = 0.3
@@ -32,15 +42,16 @@ PREDICT_AT = 0.3
 # The base lexicons of the grammar.
 INSULTS = "idiot idiots moron morons loser losers scum trash pathetic worthless stupid disgusting clown clowns imbecile dumb fool garbage filth vermin ugly idiota imbécil estúpido estúpida basura idiote imbécile stupide ordure crétin dummkopf trottel abschaum widerlich".split()
 THREATS = "kill hurt destroy murder strangle stab shoot beat burn töten umbringen matar tuer".split()
+MODALS = "will would shall should must gonna going wanna want ought werde wirst wird sollte muss vais vas va dois voy debo debería".split()
 TARGETS = "you your yours yourself they them their he him she her these those du dich dir ihr euch tú te usted ustedes tu toi vous ils".split()
 NEGATIONS = "not no never nobody isn't aren't nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says called calls wrote quoted claimed claims reported sagte nannte dit appelé dijo llamó".split()
 
-#: outputs whose weights are fitted, with the weights they start from
-OUTPUTS = {"insult": 1.6, "aimed_insult": 2.2, "negated_insult": 0.5, "reported_insult": 0.8, "threat": 0.0, "aimed_threat": 1.2, "stem": 0.3, "aimed_stem": 0.4, "negated_stem": 0.1, "reported_stem": 0.2}
-STEMS = tuple(o for o in OUTPUTS if o.endswith("stem"))
-#: further features: stem words beyond the first, and stem words in a hundred words (10 at most)
-FURTHER = {"more_stems": 0.5, "stem_rate": 0.3}
+#: what a clause may match, the strongest first, with the weights that are fitted from there
+OUTPUTS = {"aimed_threat": 3.4, "aimed_insult": 3.3, "insult": 2.6, "threat": 1.6, "aimed_stem": 1.0, "stem": 0.8, "reported_insult": 0.8, "negated_insult": 0.5, "reported_stem": 0.2, "negated_stem": 0.1, "violence": 0.0}
+_RANK = {o: i for i, o in enumerate(OUTPUTS)}
+#: the share of matched clauses, as log(1 + percent)
+FURTHER = {"share": 0.3}
 START_BIAS = -3.0
 _BREAKS = frozenset(".,;:!?\n")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.,;:!?\n]", re.UNICODE)
@@ -74,20 +85,24 @@ class Composed:
 
 
 def grammar() -> Composed:
+    insult = {("s", "stem"): ("m", "stem"), ("m", "stem"): ("m", "insult")}
+    threat = {("s", "modal"): ("m", "other"), ("m", "modal"): ("m", "other"), ("m", "threat"): ("s", "threat"), ("s", "threat"): ("s", "violence")}
     negation = {("s", "negation"): ("3", "other"), ("3", "negation"): ("3", "other")}
     for here, then in (("3", "2"), ("2", "1"), ("1", "s")):  # reaches over two words
-        negation |= {(here, x): (then, x) for x in ("other", "target", "report", "threat")}
+        negation |= {(here, x): (then, x) for x in ("other", "target", "report", "threat", "violence")}
         negation[here, "negation"] = ("3", "other")
         negation |= {(here, x): ("s", f"negated_{x}") for x in ("insult", "stem")}
-    negation |= {("2", "threat"): ("s", "other"), ("3", "threat"): ("s", "other")}
-    report = {("s", "report"): ("r", "other"), ("r", "insult"): ("r", "reported_insult"), ("r", "stem"): ("r", "reported_stem"), ("r", "threat"): ("r", "other"), ("r", "report"): ("r", "other")}
-    aim = {("s", "target"): ("a", "other"), ("a", "insult"): ("a", "aimed_insult"), ("a", "stem"): ("a", "aimed_stem"), ("a", "threat"): ("a", "aimed_threat"), ("a", "target"): ("a", "other"), ("s", "threat"): ("w", "threat"), ("w", "target"): ("a", "aimed_threat"), ("w", "insult"): ("w", "insult")}
-    return Composed(Transducer(negation), Transducer(report), Transducer(aim))
+    negation |= {(here, x): ("s", "other") for here in "23" for x in ("threat", "violence")}
+    report = {("s", "report"): ("r", "other"), ("r", "insult"): ("r", "reported_insult"), ("r", "stem"): ("r", "reported_stem"), ("r", "report"): ("r", "other"), ("r", "threat"): ("r", "other"), ("r", "violence"): ("r", "other")}
+    target = {(here, "target"): ("a", "other") for here in "sa"} | {("a", x): ("a", f"aimed_{x}") for x in ("insult", "stem", "threat")} | {("a", "violence"): ("w", "violence")}
+    target |= {("s", x): (x[0] + "1", x) for x in ("insult", "stem")} | {(x[0] + "1", "target"): ("a", f"aimed_{x}") for x in ("insult", "stem")}
+    target |= {(here, x): ("w", x) for here in ("s", "w") for x in ("threat", "violence")} | {("w", "target"): ("a", "aimed_threat")}
+    return Composed(*map(Transducer, (insult, threat, negation, report, target)))
 
 
 class Lexicon:
     def __init__(self, learnt: list[str], stems: list[str]):
-        self.symbol = {w: s for s, ws in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("insult", [*INSULTS, *learnt])) for w in ws}
+        self.symbol = {w: s for s, ws in (("modal", MODALS), ("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS), ("insult", [*INSULTS, *learnt])) for w in ws}
         self.stems, self.lengths = frozenset(stems), sorted({len(x) for x in stems})
         triggers = sorted({*INSULTS, *THREATS, *learnt, *stems}, key=len)
         self.triggers = [w for i, w in enumerate(triggers) if not any(x in w for x in triggers[:i])]
@@ -99,23 +114,29 @@ class Lexicon:
         return symbol
 
 
+def clauses(text: str, lexicon: Lexicon, machine: Composed) -> tuple[Counter, int]:
+    """How many clauses match each output as their strongest, and how many there are."""
+    found, n, best, state, empty = Counter(), 0, None, machine.start, True
+    for word in [*_WORD.findall(text), "\n"]:
+        if word in _BREAKS:
+            if not empty:
+                n += 1
+                if best is not None:
+                    found[best] += 1
+            best, state, empty = None, machine.start, True
+            continue
+        empty = False
+        state, out = machine.step(state, lexicon.read(word))
+        if out in _RANK and (best is None or _RANK[out] < _RANK[best]):
+            best = out
+    return found, n
+
+
 def features(text: str | None, lexicon: Lexicon, machine: Composed) -> list[float]:
-    """log(1 + count) of each output over the text's clauses, and the further ones."""
+    """log(1 + clauses) of each output, and the further ones."""
     low = (text or "").lower()
-    found, n = Counter(), 0
-    if any(w in low for w in lexicon.triggers):
-        state = machine.start
-        for word in _WORD.findall(low):
-            if word in _BREAKS:
-                state = machine.start
-                continue
-            n += 1
-            state, out = machine.step(state, lexicon.read(word))
-            if out in OUTPUTS:
-                found[out] += 1
-    x = [float(np.log1p(found[o])) for o in OUTPUTS]
-    stems = sum(found[o] for o in STEMS)
-    return [*x, float(stems > 1), min(10.0, 100.0 * stems / max(n, 1))]
+    found, n = clauses(low, lexicon, machine) if any(w in low for w in lexicon.triggers) else (Counter(), 0)
+    return [*(float(np.log1p(found[o])) for o in OUTPUTS), float(np.log1p(100.0 * found.total() / max(n, 1)))]
 
 
 def _sigmoid(x):
@@ -197,7 +218,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row; null and empty texts get the score of a text without matches."""
+    """doc_id, held_out, score, predicted for each row; null and empty texts get the score of a text without matches.
+
+    Long texts are read whole.  Repeated rows give repeated results (a repeated label the larger one, in
+    training), an empty table none; without labels the fixed weights stand.  Equal scores are equal
+    decisions.  Further columns take no part, whatever their names.
+    """
 
     def run(batches):
         lexicon, machine = Lexicon(model.learnt, model.stems), grammar()
