@@ -3,12 +3,18 @@
 One model per language over n-grams of up to ORDER characters within a word.  They are kept as one
 sorted array of 64-bit n-gram hashes for each order, with a column of log probabilities and of
 back-off weights for each language.  A text's score under a
-language is the cross-entropy per character of its words; the lowest wins.  A calibrated limit per
-language (from training texts) marks texts that no model explains.
+language is the cross-entropy per character of its words; the lowest wins.
+
+Rejection is calibrated on labelled texts that trained nothing (a fifth of them, CALIBRATE of a language
+at most): a text of n characters is unexplained when its cross-entropy is further above its language's
+mean than MARGIN times the largest such distance among them, both measured in standard deviations of
+texts of their length, sqrt(a + b / n).  How much evidence the characters of a text are worth, from
+which `score` follows, is chosen on the same texts.
 
 Words are hashed and counted per batch, and each distinct word is scored once, so cost follows the
-number of distinct words.  Training takes a bounded sample (SAMPLE_PER_LANGUAGE documents of a
-language, MOST_LANGUAGES languages, MOST_WORDS word types in all); only those counts reach the driver.
+number of distinct words.  Training takes a bounded sample (SAMPLE_PER_LANGUAGE documents and
+WORDS_PER_LANGUAGE word types of each language, however many other languages there are); only those
+counts reach the driver, and the arrays grow with the number of languages.
 """
 
 from __future__ import annotations
@@ -18,20 +24,23 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refquarry.llm.common import NON_LETTERS, as_bytes, byte_table, chunks, fold, mix, table, words
 
 ORDER = 4
 SAMPLE_PER_LANGUAGE = 800
-MOST_LANGUAGES = 200
-MOST_WORDS = 60_000
+WORDS_PER_LANGUAGE = 15_000
+#: labelled texts of a language that calibrate its limit, and how many it has at least for a fifth of them to be set aside
+CALIBRATE, CALIBRATE_FROM = 400, 25
 DISCOUNT = 0.75
 #: distinct words that a worker remembers before it starts afresh
 REMEMBERED = 300_000
-#: standard deviations above the training mean at which a text counts as unexplained
-REJECT_SD = 10.0
+#: what the limit stands beyond the least explained calibrating text
+MARGIN = 1.25
+#: characters that a text's evidence may count as, at most, for its score
+EVIDENCE = (5, 10, 20, 50, 100, 200, 400)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _START, _END = 1, 2
 
@@ -97,7 +106,8 @@ class Identifier:
         self.languages = sorted(counts)
         vocabulary = len({c for words_ in counts.values() for w in words_ for c in w}) + 2
         self.floor = float(np.log(1 / vocabulary))
-        self.limits = np.full(len(self.languages), np.inf)
+        self.means, self.a, self.b, self.most = np.full(len(self.languages), np.inf), 0.01, 4.0, 6.0
+        self.evidence = 50
         models = [KneserNey(counts[x], vocabulary) for x in self.languages]
         self.tables = []
         below, p_below = np.zeros(1, np.uint64), np.full((1, len(models)), self.floor)
@@ -114,6 +124,10 @@ class Identifier:
             self.tables.append((grams, logs, contexts, backs))
             below, p_below = grams, logs
 
+    def unlike(self, best: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How far texts of n characters lie above the mean of their best language, in standard deviations of such texts."""
+        return (entropy - self.means[best]) / np.sqrt(self.a + self.b / np.maximum(n, 1))
+
     def word_scores(self, texts: list[str]) -> np.ndarray:
         """For each word: summed log P under each language, then the number of predicted characters (0: no letter)."""
         out = np.zeros((len(texts), len(self.languages) + 1))
@@ -173,68 +187,107 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["lang", "word", "n"])
 
 
+def _sums(identifier: Identifier):
+    """A function from an Arrow text column to each text's summed log P under each language and its number of predicted characters."""
+    known: dict[int, int] = {}
+    store = [np.zeros((1024, len(identifier.languages) + 1))]
+
+    def sums_of(column) -> np.ndarray:
+        sums = np.zeros((len(column), len(identifier.languages) + 1))
+        for a, b, (joined, doc, starts, ends, h) in _texts(column):
+            distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            if len(known) + len(distinct) > REMEMBERED:
+                known.clear()
+            hashes = distinct.tolist()
+            new = [i for i, x in enumerate(hashes) if x not in known]
+            if new:
+                rows = identifier.word_scores([letters(joined[starts[i] : ends[i]]) for i in first[new].tolist()])
+                while len(known) + len(new) > len(store[0]):
+                    store[0] = np.concatenate([store[0], np.zeros_like(store[0])])
+                at = len(known)
+                store[0][at : at + len(new)] = rows
+                known.update((hashes[i], at + j) for j, i in enumerate(new))
+            rows = store[0][np.fromiter((known[x] for x in hashes), np.int64, len(hashes))][inverse]
+            for c in range(rows.shape[1]):
+                sums[a:b, c] += np.bincount(doc, rows[:, c], b - a)
+        return sums
+
+    return sums_of
+
+
+def _odds(entropy: np.ndarray, n: np.ndarray, evidence: int) -> np.ndarray:
+    """Of each text, the languages' probabilities when its characters count as `evidence` independent ones at most."""
+    p = np.exp(-np.minimum((entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, evidence)[:, None], 700))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def _score(identifier: Identifier):
     def run(batches):
-        known: dict[int, int] = {}
-        store = np.zeros((1024, len(identifier.languages) + 1))
+        sums_of = _sums(identifier)
         for batch in batches:
             n_rows = batch.num_rows
-            sums = np.zeros((n_rows, len(identifier.languages) + 1))
-            for a, b, (joined, doc, starts, ends, h) in _texts(batch.column("text")):
-                distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                if len(known) + len(distinct) > REMEMBERED:
-                    known.clear()
-                hashes = distinct.tolist()
-                new = [i for i, x in enumerate(hashes) if x not in known]
-                if new:
-                    rows = identifier.word_scores([letters(joined[starts[i] : ends[i]]) for i in first[new].tolist()])
-                    while len(known) + len(new) > len(store):
-                        store = np.concatenate([store, np.zeros_like(store)])
-                    at = len(known)
-                    store[at : at + len(new)] = rows
-                    known.update((hashes[i], at + j) for j, i in enumerate(new))
-                rows = store[np.fromiter((known[x] for x in hashes), np.int64, len(hashes))][inverse]
-                for c in range(rows.shape[1]):
-                    sums[a:b, c] += np.bincount(doc, rows[:, c], b - a)
+            sums = sums_of(batch.column("text"))
             n = sums[:, -1]
             if identifier.languages:
                 entropy = -sums[:, :-1] / np.maximum(n, 1)[:, None]
                 best = entropy.argmin(axis=1)
                 low = entropy[np.arange(n_rows), best]
-                # odds are tempered: evidence counts as at most 50 independent characters
-                odds = np.exp(-np.minimum((entropy - low[:, None]) * np.minimum(n, 50)[:, None], 700)).sum(axis=1)
+                score = _odds(entropy, n, identifier.evidence)[np.arange(n_rows), best]
                 names = [identifier.languages[i] for i in best]
-                unlike = low > identifier.limits[best]
+                unlike = identifier.unlike(best, low, n) > identifier.most
             else:
-                odds, low, names, unlike = np.ones(n_rows), np.zeros(n_rows), ["und"] * n_rows, np.zeros(n_rows, bool)
+                score, low, names, unlike = np.zeros(n_rows), np.zeros(n_rows), ["und"] * n_rows, np.zeros(n_rows, bool)
             no = (n == 0) | (not identifier.languages)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(["und" if x else y for x, y in zip(no, names, strict=True)]), pa.array(np.where(no, 0.0, 1 / odds)), pa.array(low), pa.array(no | unlike)],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(["und" if x else y for x, y in zip(no, names, strict=True)]), pa.array(np.where(no, 0.0, score)), pa.array(low), pa.array(no | unlike)],
                 names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
     return run
 
 
+def calibrate(model: Identifier, langs: list[str], entropy: np.ndarray, n: np.ndarray) -> None:
+    """Sets means, spread by length, limit and evidence from labelled texts that trained nothing."""
+    best = entropy.argmin(axis=1)
+    low = entropy[np.arange(len(n)), best]
+    for c in range(len(model.languages)):
+        model.means[c] = low[best == c].mean() if (best == c).any() else low.mean()
+    square = (low - model.means[best]) ** 2
+    long_ = n >= 256
+    model.a = max(0.0025, float(square[long_].mean())) if long_.any() else model.a
+    model.b = max(1.0, float((np.maximum(square - model.a, 0) * n)[~long_].mean())) if (~long_).any() else model.b
+    model.most = MARGIN * max(4.0, float(model.unlike(best, low, n).max()))
+    right = np.array([model.languages.index(x) for x in langs])
+    model.evidence = max(EVIDENCE, key=lambda e: np.log(np.maximum(_odds(entropy, n, e)[np.arange(len(n)), right], 1e-9)).mean())
+
+
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Identifier:
     """Fits on rows with a language, a text and a crc32 fold (modulo 4) other than 2, at most per_language of each language expected."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return Identifier({})
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(per_language / r["count"])) for r in sizes], F.lit(0.0))
+    rows = rows.join(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "lang")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.where(part < share)
+    aside = (F.col("of_lang") >= CALIBRATE_FROM) & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0)
+    sample = rows.where(~aside & (part * F.col("of_lang") < per_language * 1.25))
     counts = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.orderBy(F.desc("n"), "lang", "word").limit(MOST_WORDS).collect():
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    for r in counts.withColumn("rank", rank).where(F.col("rank") <= WORDS_PER_LANGUAGE).select("lang", "word", "n").collect():
         by[r["lang"]][r["word"]] = r["n"]
     model = Identifier(dict(by))
-    scored = predict(sample, model)
-    spread = scored.where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.avg("cross_entropy").alias("m"), F.stddev_pop("cross_entropy").alias("s"), F.max("cross_entropy").alias("top"))
-    for r in spread.collect():
-        if r["lang_pred"] in model.languages:
-            model.limits[model.languages.index(r["lang_pred"])] = max(r["m"] + REJECT_SD * r["s"], r["top"] * 1.25)
+    if not by:
+        return model
+
+    def measure(batches):
+        sums_of = _sums(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(sums_of(batch.column("text"))), pa.list_(pa.float64()))], names=["lang", "sums"])
+
+    able = F.col("lang").isin(*model.languages) if len(by) < 1000 else F.lit(True)
+    measured = rows.where(aside & able & (part * F.col("of_lang") < CALIBRATE * 5)).select("lang", "text").mapInArrow(measure, "lang string, sums array<double>").collect()
+    measured = [(r["lang"], r["sums"]) for r in measured if r["lang"] in by and r["sums"][-1]]
+    if measured:
+        sums = np.array([x for _, x in measured])
+        calibrate(model, [x for x, _ in measured], -sums[:, :-1] / sums[:, -1:], sums[:, -1])
     return model
 
 
@@ -242,6 +295,8 @@ def predict(docs: DataFrame, model: Identifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected for each row; `und` where the text is null or has no letter, or nothing was learnt.
 
     Ties go to the language that sorts first; repeated rows give repeated results; an empty table gives none.
+    Long texts are read whole.  Without labelled texts to calibrate on (fewer than CALIBRATE_FROM of each
+    language) nothing with letters is rejected.  Further columns take no part, whatever their names.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
