@@ -242,9 +242,24 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: texts by which a model is tried: spaces, compatibility characters, characters without a piece
+PROBES = ("", " ", "a  b ", "\ufb01\u2460 \u212b A\u030a", "The quick brown fox, 1999!", "\u65e5\u672c\U0001f600\U00010348", "aaaa bbb\n\tc")
+_tried: set[int] = set()
+
+
 def _shipped(spark, model: str | None):
+    """The model for the workers; one that these operators would not encode as its library does (not byte-pair, a normaliser, no byte pieces) is an error."""
+    import sentencepiece
+
     with open(model or default_model(), "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    if zlib.crc32(data) not in _tried:
+        sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        fits = all(sp.is_byte(sp.piece_to_id(f"<0x{b:02X}>")) for b in range(256))
+        if not fits or any(e.tolist() != sp.encode(t) for e, t in zip(Encoder(data).encode([t.encode() for t in PROBES]), PROBES, strict=True)):
+            raise ValueError("the model must be byte-pair, without a normaliser, with byte pieces")
+        _tried.add(zlib.crc32(data))
+    return spark.sparkContext.broadcast(data)
 
 
 def encode(docs: DataFrame, model: str | None = None, digest: bool = False) -> DataFrame:
