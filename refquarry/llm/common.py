@@ -164,12 +164,17 @@ def words(blobs: list[bytes], tables: tuple[np.ndarray, np.ndarray], joiner: byt
     lengths = np.fromiter((len(b) + 1 for b in blobs), np.int64, len(blobs))
     first = np.cumsum(lengths) - lengths
     doc = np.searchsorted(first, starts, "right") - 1
+    return joined, doc, starts, ends, span_hashes(joined, value)(starts, ends)
+
+
+def span_hashes(joined: bytes, value: np.ndarray):
+    """A function that gives the 64-bit hashes of the bytes from starts to ends."""
+    buf = np.frombuffer(joined, np.uint8)
     up, down = _power_tables(len(buf) + 1)
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
     np.cumsum(value[buf] * up[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return joined, doc, starts, ends, mix(h + (ends - starts).astype(np.uint64) * _STEP)
+    return lambda starts, ends: mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def as_bytes(column) -> list[bytes]:
