@@ -8,7 +8,8 @@ are compacted after each step.
 
 Blocks are packed rows.  Groups of query blocks meet groups of candidate blocks, each pair of groups in
 one task of bounded size, so no row of one table is paired with a row of the other; the answer of a
-task is k rows a query.
+task is k rows a query.  The first group of candidates is searched before the others: the k-th best that
+each query has from it is where their search begins to prune.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import table
+from refquarry.llm.common import Workspace, table
 
 SCALE = 64
 QUERY_EVERY = 20
@@ -29,29 +30,31 @@ DIMENSION_BLOCK = 16
 
 
 def _blocks(size: int):
-    """Packs rows (id, whole-number vector) into blocks: ids, vectors dimension-major as int64, and the length of the longest."""
+    """Packs rows (id, whole-number vector, least score that counts or null) into blocks: ids, vectors dimension-major, the length of the longest, and the least scores."""
 
-    def pack(ids, vectors):
+    def pack(ids, vectors, floors):
         n = max(map(len, vectors))
         m = np.zeros((n, len(ids)), np.int64)
         for c, v in enumerate(vectors):
             m[: len(v), c] = v
         small = np.abs(m).max(initial=0) < 32768
-        return np.array(ids, np.int64).tobytes(), (m.astype(np.int16) if small else m).tobytes(), n, bool(small)
+        return np.array(ids, np.int64).tobytes(), (m.astype(np.int16) if small else m).tobytes(), n, bool(small), np.array([-np.inf if f is None else f for f in floors]).tobytes()
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows])], names=["ids", "vectors", "dims", "small"])
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["ids", "vectors", "dims", "small", "floors"])
 
     def run(batches):
-        ids, vectors = [], []
+        ids, vectors, floors = [], [], []
         for b in batches:
             ids += b.column("id").to_pylist()
             vectors += [np.asarray(v, np.int64) for v in b.column("v").to_pylist()]
+            floors += b.column("floor").to_pylist()
             while len(ids) >= size:
-                yield batch_of([pack(ids[:size], vectors[:size])])
-                ids, vectors = ids[size:], vectors[size:]
+                yield batch_of([pack(ids[:size], vectors[:size], floors[:size])])
+                ids, vectors, floors = ids[size:], vectors[size:], floors[size:]
         if ids:
-            yield batch_of([pack(ids, vectors)])
+            yield batch_of([pack(ids, vectors, floors)])
 
     return run
 
@@ -65,13 +68,13 @@ def _unpack(row, dims: int) -> tuple[np.ndarray, np.ndarray]:
 class Best:
     """k best different (score, id) of each query so far; more score first, then smaller id."""
 
-    def __init__(self, n: int, k: int):
-        self.k = k
+    def __init__(self, n: int, k: int, floors: np.ndarray | None = None):
+        self.k, self.floors = k, np.full(n, -np.inf) if floors is None else floors
         self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         self.scores: list[np.ndarray] = [np.zeros(0, np.int64)] * n
 
     def limit(self, q: int) -> float:
-        return float(self.scores[q][-1]) if len(self.scores[q]) >= self.k else -np.inf
+        return max(self.floors[q], float(self.scores[q][-1])) if len(self.scores[q]) >= self.k else self.floors[q]
 
     def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
@@ -95,6 +98,8 @@ class Best:
 def search_block(best: Best, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, step: int = DIMENSION_BLOCK) -> None:
     """Adds to `best` what a candidate block (v: dimensions x candidates) offers to each query (q: dimensions x queries)."""
     dims = len(v)
+    if float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(dims, 1) >= 2**62:
+        raise OverflowError("components are too large for scores of 64 bits")
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(dims, 1) < 2**52
     qf, vf = (q.astype(float), v.astype(float)) if exact else (q, v)
     cuts = list(range(0, dims, step)) + [dims]
@@ -127,7 +132,7 @@ def _search(k: int):
             blocks = [_unpack(c, dims) for c in candidates.to_pylist()]
             for row in queries.to_pylist():
                 query_ids, q = _unpack(row, dims)
-                best = Best(len(query_ids), k)
+                best = Best(len(query_ids), k, np.frombuffer(row["floors"], float))
                 for ids, v in blocks:
                     search_block(best, query_ids, q, ids, v)
                 out += [(np.full(len(best.ids[i]), query_ids[i]), best.ids[i], best.scores[i]) for i in range(len(query_ids))]
@@ -143,25 +148,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     Components are floor(64 x).  Rows whose id or vector is null, or whose vector holds a null or
     non-finite component, take no part; shorter vectors count as filled up with zeros.  Ties go to the
     smaller id; a vector that stands in several rows is found once; empty tables give no rows.
+    Vectors of any length count whole; components so large that a score may pass 62 bits are an error.
+    Further columns take no part, whatever their names.
     """
 
     def whole(df):
         v = F.col(vector_col)
         sound = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-        return df.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+        return df.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"), F.lit(None).cast("double").alias("floor"))
 
-    spark = vectors.sparkSession
-    kind = "ids binary, vectors binary, dims int, small boolean"
+    ws = Workspace(vectors.sparkSession, "topk")
+    kind = "ids binary, vectors binary, dims int, small boolean, floors binary"
     candidate = whole(vectors).mapInArrow(_blocks(CANDIDATE_BLOCK), kind)
-    asked = whole(queries).mapInArrow(_blocks(QUERY_BLOCK), kind)
     n = vectors.count()
     groups = max(1, n // (CANDIDATE_BLOCK * GROUP_BLOCKS))
     parts = max(1, n // (QUERY_EVERY * QUERY_BLOCK * GROUP_BLOCKS))  # groups of query blocks, so that a task holds a bounded number of either
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
+    if groups > 1:
+        candidate = ws.cut(candidate, "candidates")  # read twice, and a block must fall to the same group each time
     candidate = candidate.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups))).withColumn("h", every(parts))
-    asked = asked.withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("g", every(groups))
-    found = asked.groupBy("g", "h").cogroup(candidate.groupBy("g", "h")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    once = found.distinct()
+
+    def meet(asked: DataFrame, where) -> DataFrame:
+        blocks = asked.mapInArrow(_blocks(QUERY_BLOCK), kind).withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("g", every(groups))
+        return blocks.where(where).groupBy("g", "h").cogroup(candidate.where(where).groupBy("g", "h")).applyInArrow(_search(k), "query_id long, vec_id long, score long").distinct()
+
+    once = meet(whole(queries), F.col("g") == 0)
+    if groups > 1:
+        once = ws.cut(once, "first")
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        floors = once.withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+        once = once.union(meet(whole(queries).drop("floor").join(floors, "id", "left").select("id", "v", "floor"), F.col("g") > 0)).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
