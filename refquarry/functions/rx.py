@@ -23,7 +23,7 @@ PUNCT_RUN_RE2 = r"[[:punct:]]+"
 DIGIT_RATIO = r"\d+"
 DECIMAL = r"\d+\.\d+"
 LINK_ITEM = r'<li><a href="([^"]*)">([^<]*)'
-CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]|\p{Cf}|\p{Co}"
 #: handwritten reference patterns: group 1 is the term
 HANDWRITTEN = {
     "first_before_of": r"^(\S+) of\b",

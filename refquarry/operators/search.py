@@ -39,16 +39,23 @@ def seed_contexts(lines: DataFrame, seeds: DataFrame, one_per_doc: bool = False)
     return out
 
 
+def _token_is(token: Column, wanted: str) -> Column:
+    """Whether a token is a phrase's word; * within a word stands for any characters."""
+    if "*" not in wanted:
+        return token == F.lit(wanted)
+    return token.rlike("^" + r"\S*".join(f"\\Q{part}\\E" if part else "" for part in wanted.split("*")) + "$")
+
+
 def phrase_matches(words: Column, phrase: list[str], slop: int = 0) -> Column:
-    """Whether a token array holds a phrase; * stands for any token, and slop is how far words may move against each other."""
+    """Whether a token array holds a phrase; * stands for any token, or for any characters of one, and slop is how far words may move against each other."""
     fixed = [(i, w) for i, w in enumerate(phrase) if w != "*"]
     n = len(phrase)
     if slop == 0:
-        here = lambda p: F.reduce(F.array(*[F.get(words, p + i) == F.lit(w) for i, w in fixed]), F.lit(True), lambda a, b: a & b)
+        here = lambda p: F.reduce(F.array(*[_token_is(F.get(words, p + i), w) for i, w in fixed]), F.lit(True), lambda a, b: a & b)
         return F.when(F.size(words) >= n, F.exists(F.sequence(F.lit(0), F.size(words) - n), here)).otherwise(False)
     places = F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p")))
     def adjusted(i: int, w: str) -> Column:
-        return F.transform(F.filter(places, lambda x: x["w"] == w), lambda x: x["p"] - i)
+        return F.transform(F.filter(places, lambda x: _token_is(x["w"], w)), lambda x: x["p"] - i)
 
     shifted = [adjusted(i, w) for i, w in fixed]
     near = lambda b: F.reduce(F.array(*[F.exists(s, lambda x: (x >= b) & (x <= b + slop)) for s in shifted]), F.lit(True), lambda x, y: x & y)

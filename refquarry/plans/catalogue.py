@@ -97,6 +97,11 @@ def sloppy_phrase_search(spark, sf):
     return search.phrase_search(_lines(spark, sf), ["under", "the", "License,"], slop=2).select("doc_id", "line_no")
 
 
+@query("wildcard_phrase_search", rf"""WITH {PASSAGES} SELECT doc_id, line_no FROM p WHERE regexp_matches(' ' || array_to_string({TOKENS}, ' ') || ' ', ' \S*nder \S+ A\S*e \S+ ')""")
+def wildcard_phrase_search(spark, sf):
+    return search.phrase_search(_lines(spark, sf), ["*nder", "*", "A*e", "*"]).select("doc_id", "line_no")
+
+
 @query("postings", f"WITH {PASSAGES} SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(pos)::INT AS first_pos FROM (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT doc_id, {TOKENS} AS w FROM p)) GROUP BY token")
 def postings(spark, sf):
     rows = search.postings(_lines(spark, sf))
@@ -306,9 +311,9 @@ def dehyphenate(spark, sf):
     return table(spark, sf, "part").select("p_partkey", textprep.dehyphenate(text).alias("text"))
 
 
-@query("strip_controls", r"SELECT p_partkey, regexp_replace(p_name || chr(7) || 'x' || chr(10) || 'y' || chr(1), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g') AS text FROM part")
+@query("strip_controls", "SELECT p_partkey, p_name || 'x' || chr(10) || 'yz' AS text FROM part")
 def strip_controls(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", textprep.strip_controls(F.concat("p_name", F.lit("\x07x\ny\x01"))).alias("text"))
+    return table(spark, sf, "part").select("p_partkey", textprep.strip_controls(F.concat("p_name", F.lit("\x07x\ny\x01\u00ad\u200bz\ue000\x9f"))).alias("text"))
 
 
 @query("compound_split", r"SELECT p_partkey, regexp_replace(regexp_replace(p_type || '-' || p_brand || ' and/or ' || p_name || ' - x', '(\S)([-–/])(\S)', '\1 \2 \3', 'g'), '(\S)([-–/])(\S)', '\1 \2 \3', 'g') AS text FROM part")
@@ -316,7 +321,12 @@ def compound_split(spark, sf):
     return table(spark, sf, "part").select("p_partkey", textprep.split_compounds(F.concat("p_type", F.lit("-"), "p_brand", F.lit(" and/or "), "p_name", F.lit(" - x"))).alias("text"))
 
 
-@query("tokenize")
+_SPLIT = r"regexp_replace({}, '(\S)([-–/])(\S)', '\1 \2 \3', 'g')"
+
+
+@query("tokenize", rf"""WITH {PASSAGES}, s AS (SELECT doc_id, line_no, {_SPLIT.format(_SPLIT.format("text"))} AS text FROM p),
+t AS (SELECT doc_id, line_no, ' ' || array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''’.,/-][\p{{L}}\p{{N}}]+)*|[^\s\p{{L}}\p{{N}}]'), ' ') AS l FROM s)
+SELECT doc_id, line_no, regexp_replace(l, ' ([.!?]) (\p{{Lu}})', ' \1' || chr(10) || ' \2', 'g') AS tokens FROM t""")
 def tokenize(spark, sf):
     return _lines(spark, sf).select("doc_id", "line_no", textprep.tokenize(F.col("text"), compounds=True).alias("tokens"))
 

@@ -27,6 +27,8 @@ class Job:
     remove_bib: bool = False
     tokenize: bool | None = None
     linker: str = "best"
+    ranker: str = "relative"
+    instance_threshold: float | None = None
     tags: tuple[str, ...] = field(default_factory=tuple)
 
     def __post_init__(self):
@@ -36,6 +38,8 @@ class Job:
             raise ValueError(f"{self.algorithm} needs seeds")
         if self.linker not in LINKERS:
             raise ValueError(f"linker must be one of {sorted(LINKERS)}")
+        if self.ranker not in bootstrap.RANKERS:
+            raise ValueError(f"ranker must be one of {sorted(bootstrap.RANKERS)}")
         if self.bootstrap_strategy not in bootstrap.STRATEGIES:
             raise ValueError(f"bootstrap_strategy must be one of {bootstrap.STRATEGIES}")
 
@@ -51,7 +55,7 @@ def by_frequency(docs: DataFrame, job: Job, patterns: DataFrame | None = None) -
 
 
 def by_reliability(docs: DataFrame, job: Job, patterns: DataFrame | None = None) -> DataFrame:
-    return bootstrap.reliability_bootstrap(textprep.passages(docs), list(job.seeds), job.reliability_threshold, job.windowsize, job.max_iterations, upper_case=job.upper_case_constraint)
+    return bootstrap.reliability_bootstrap(textprep.passages(docs), list(job.seeds), job.reliability_threshold, job.windowsize, job.max_iterations, upper_case=job.upper_case_constraint, ranker=job.ranker, instance_threshold=job.instance_threshold)
 
 
 def by_patterns(docs: DataFrame, job: Job, patterns: DataFrame | None = None) -> DataFrame:

@@ -97,6 +97,7 @@ def test_match_matrix(spark):
 
 
 def test_metadata_entities(spark):
+    # Contexts of the domain's examples, and the name, numbers and identifier that each holds.
     rows = [
         ("In this snippet, the reference", "ALLBUS 2000", "is to be extracted as", "ALLBUS", ["2000"], None),
         ("In this snippet, the reference 2000", "Eurobarometer", "56.1 is to be", "Eurobarometer", ["2000", "56.1"], None),
