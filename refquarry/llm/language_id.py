@@ -37,6 +37,8 @@ CALIBRATE, CALIBRATE_FROM = 400, 25
 DISCOUNT = 0.75
 #: distinct words that a worker remembers before it starts afresh
 REMEMBERED = 300_000
+#: names of languages that are sent to every task
+MOST_BROADCAST = 100_000
 #: what the limit stands beyond the least explained calibrating text
 MARGIN = 1.25
 #: characters that a text's evidence may count as, at most, for its score
@@ -264,7 +266,9 @@ def calibrate(model: Identifier, langs: list[str], entropy: np.ndarray, n: np.nd
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Identifier:
     """Fits on rows with a language, a text and a crc32 fold (modulo 4) other than 2, at most per_language of each language expected."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-    rows = rows.join(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang")), "lang")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    few = sizes.count() <= MOST_BROADCAST  # texts are shuffled by language only if there are more names than can be sent to all tasks
+    rows = rows.join(F.broadcast(sizes) if few else sizes, "lang")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     aside = (F.col("of_lang") >= CALIBRATE_FROM) & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0)
     sample = rows.where(~aside & (part * F.col("of_lang") < per_language * 1.25))
