@@ -8,6 +8,7 @@ runs over words.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -76,6 +77,21 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+def tidy(run):
+    """A function for mapInArrow that gives what it has freed back to the system when its rows are done: workers wait for later stages' tasks, and would keep the largest size that any stage had."""
+
+    def tidied(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids fall in fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0)).cast("int")
@@ -236,7 +252,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].view(np.int64))], names=["at", "bits"])
 
     out = np.zeros(BITMAP // 64, np.uint64)
-    for r in keys.mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+    for r in keys.mapInArrow(tidy(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
         out[r["at"]] = r["bits"] & _MASK
     return out
 

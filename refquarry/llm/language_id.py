@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import NON_LETTERS, as_bytes, byte_table, chunks, fold, mix, table, words
+from refquarry.llm.common import NON_LETTERS, as_bytes, byte_table, chunks, fold, mix, table, tidy, words
 
 ORDER = 4
 SAMPLE_PER_LANGUAGE = 800
@@ -272,7 +272,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Identifie
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     aside = (F.col("of_lang") >= CALIBRATE_FROM) & (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0)
     sample = rows.where(~aside & (part * F.col("of_lang") < per_language * 1.25))
-    counts = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", "text").mapInArrow(tidy(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by: dict[str, dict[str, int]] = defaultdict(dict)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     for r in counts.withColumn("rank", rank).where(F.col("rank") <= WORDS_PER_LANGUAGE).select("lang", "word", "n").collect():
@@ -287,7 +287,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Identifie
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(sums_of(batch.column("text"))), pa.list_(pa.float64()))], names=["lang", "sums"])
 
     able = F.col("lang").isin(*model.languages) if len(by) < 1000 else F.lit(True)
-    measured = rows.where(aside & able & (part * F.col("of_lang") < CALIBRATE * 5)).select("lang", "text").mapInArrow(measure, "lang string, sums array<double>").collect()
+    measured = rows.where(aside & able & (part * F.col("of_lang") < CALIBRATE * 5)).select("lang", "text").mapInArrow(tidy(measure), "lang string, sums array<double>").collect()
     measured = [(r["lang"], r["sums"]) for r in measured if r["lang"] in by and r["sums"][-1]]
     if measured:
         sums = np.array([x for _, x in measured])
@@ -304,7 +304,7 @@ def predict(docs: DataFrame, model: Identifier) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(_score(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return rows.mapInArrow(tidy(_score(model)), f"doc_id {kind}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def drop_unexplained(docs: DataFrame, model: Identifier) -> DataFrame:
@@ -317,7 +317,7 @@ def drop_unexplained(docs: DataFrame, model: Identifier) -> DataFrame:
             for scored in score(iter([named])):
                 yield b.filter(pa.compute.invert(scored.column("rejected")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import SPACES, Workspace, as_bytes, bitmap, byte_table, in_bitmap, mix, shingle_sets, small_batches, table
+from refquarry.llm.common import SPACES, Workspace, as_bytes, bitmap, byte_table, in_bitmap, mix, shingle_sets, small_batches, table, tidy
 from refquarry.llm.components import components
 
 K = 5
@@ -314,13 +314,13 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch.column("doc_id")
             yield batch.filter(pa.array(in_bitmap(able, at.fill_null(0).to_numpy().view(np.uint64)) & at.is_valid().to_numpy(zero_copy_only=False)))
 
-    return docs.mapInArrow(run, docs.schema).withColumnRenamed("doc_id", "id")
+    return docs.mapInArrow(tidy(run), docs.schema).withColumnRenamed("doc_id", "id")
 
 
 def _in_shards(docs: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     """Links of rows (shard, role, id, component) within their shards."""
     told = _texts(docs, rows.select("id")).join(rows, "id").select("shard", "role", "id", "component", "text")
-    return told.repartition(parts, "shard").sortWithinPartitions("shard", "role", "id").mapInArrow(_search, "a long, b long")
+    return told.repartition(parts, "shard").sortWithinPartitions("shard", "role", "id").mapInArrow(tidy(_search), "a long, b long")
 
 
 def _only(tokens: DataFrame, rows: DataFrame) -> DataFrame:
@@ -331,7 +331,7 @@ def _only(tokens: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(able, batch.column("token").to_numpy().view(np.uint64))))
 
-    return rows.mapInArrow(run, rows.schema).join(tokens, "token", "left_semi")
+    return rows.mapInArrow(tidy(run), rows.schema).join(tokens, "token", "left_semi")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def _components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = ws.cut(docs.mapInArrow(_describe, "kind int, doc_id long, node binary, n long, token long"), "described")
+    described = ws.cut(docs.mapInArrow(tidy(_describe), "kind int, doc_id long, node binary, n long, token long"), "described")
     of_docs = described.where("kind = 0").select("doc_id", "node", F.col("n").alias("n_shingles"))
     frequent = described.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
     hot = np.array([r["token"] for r in frequent.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token").collect()], np.int64).view(np.uint64)
@@ -358,7 +358,7 @@ def _components(docs: DataFrame) -> DataFrame:
     reps = of_docs.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("s"))
     entries = (of_docs.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0) * (DEN - NUM + DEN // WIDER) // DEN
     buckets = max(16, -(-entries // BUCKET_ENTRIES))
-    packed = docs.mapInArrow(_pack(hot, int(buckets)), "bucket int, tokens binary, owners binary, nodes binary")
+    packed = docs.mapInArrow(tidy(_pack(hot, int(buckets))), "bucket int, tokens binary, owners binary, nodes binary")
     shared = ws.cut(packed.groupBy("bucket").applyInArrow(_shared, "node long, token long, df int"), "shared")
     del packed
     ws.release()

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import SPACES, as_bytes, byte_table, chunks, table, words
+from refquarry.llm.common import SPACES, as_bytes, byte_table, chunks, table, tidy, words
 
 LENGTH = 2048
 SEGMENTS = 256
@@ -270,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, se
 
     first = F.lit(0) if loss_from is None else F.greatest(F.lit(0), F.coalesce(F.col(loss_from), F.lit(0)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", first.cast("long").alias("loss_from"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

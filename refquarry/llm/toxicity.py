@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refquarry.llm.common import Workspace, fold, table
+from refquarry.llm.common import Workspace, fold, table, tidy
 
 MOST_LABELS = 8000
 #: a learnt insult stands in this share of toxic training texts, and in a tenth of that share or less of the others
@@ -187,7 +187,7 @@ START = np.array([*OUTPUTS.values(), *FURTHER.values(), START_BIAS])
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels, "toxic", fold("doc_id", 4) != 2)
-    counts = rows.mapInArrow(_word_counts, "kind int, word string, pos long, neg long").groupBy("kind", "word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(tidy(_word_counts), "kind int, word string, pos long, neg long").groupBy("kind", "word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ws = Workspace(docs.sparkSession, "toxicity")
     counts = ws.cut(counts, "counts")
     total = counts.where("kind = 0 and word = ''").first()
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t, lexicon, machine) for t in b.column("text").to_pylist()], pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
-    got = rows.mapInArrow(matrix, "x array<double>, y int").groupBy("x", "y").count().collect()
+    got = rows.mapInArrow(tidy(matrix), "x array<double>, y int").groupBy("x", "y").count().collect()
     x = np.repeat(np.array([r["x"] for r in got]), [r["count"] for r in got], axis=0)
     y = np.repeat(np.array([r["y"] for r in got], float), [r["count"] for r in got])
     return Model(learnt, stems, fit(x, y, START))
@@ -234,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -246,7 +246,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             x = np.array([features(t, lexicon, machine) for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(START) - 1)
             yield b.filter(pa.array(_sigmoid(x @ model.weights[:-1] + model.weights[-1]) < PREDICT_AT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

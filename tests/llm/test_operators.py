@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -636,3 +638,36 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == stay
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language_id", "exact_dedup", "ngram_join", "packing"]
+
+
+KEPT_BY_A_WORKER = """
+import ctypes, random, re, sys
+import pyarrow as pa
+from refquarry.llm import language_id
+
+def mb():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem): +(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+class Docs:
+    schema = None
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+r = random.Random(1)
+word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+docs = Docs()
+language_id.drop_unexplained(docs, language_id.Identifier({"a": {word(): 1 for _ in range(500)}, "b": {word(): 1 for _ in range(500)}}))
+batch = lambda: pa.RecordBatch.from_arrays([pa.array([" ".join(word() for _ in range(100)) for _ in range(1500)])], names=["text"])
+for _ in docs.run(batch() for _ in range(2)):
+    pass
+after = mb()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(after - mb())
+"""
+
+
+def test_workers_give_memory_back():
+    """What a stage has freed is not kept by its worker while later stages run."""
+    found = subprocess.run([sys.executable, "-c", KEPT_BY_A_WORKER], capture_output=True, text=True, check=True)
+    assert float(found.stdout) < 16
