@@ -1,5 +1,7 @@
 """Steps whose cost grew faster than their input: what their plans may not hold, and results of the ways around it."""
 
+import time
+
 from refquarry.operators import search
 
 
@@ -20,3 +22,13 @@ def test_contexts_shuffle_no_passages(spark, monkeypatch):
     assert [(r[2], r[3]) for r in want if r[2] != "the"] == [("Apache License", "x see  the MIT License and the "), ("the MIT", "x see  ")]
     monkeypatch.setattr(search, "MOST_PATTERNS", 1)
     assert sorted(map(tuple, search.seed_contexts(lines, seeds).collect())) == want
+
+
+def test_phrases_of_long_passages(spark):
+    """A passage's tokens are not made again for each place."""
+    lines = one_line(spark, " ".join(f"w{i}" for i in range(40_000)) + " under the MIT License, ender b Apache")
+    lines.count()
+    began = time.time()
+    n = lambda phrase, slop=0: search.phrase_search(lines, phrase.split(), slop).count()
+    assert [n("under * * License,"), n("*nder * A*e"), n("* Apache"), n("Apache *"), n("nder b"), n("License, the under", 5), n("License, the under", 4)] == [1, 1, 1, 0, 0, 1, 0]
+    assert time.time() - began < 30
