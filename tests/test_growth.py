@@ -3,6 +3,9 @@
 import time
 
 from refquarry.operators import search
+from refquarry.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df) -> str:
@@ -32,3 +35,16 @@ def test_phrases_of_long_passages(spark):
     n = lambda phrase, slop=0: search.phrase_search(lines, phrase.split(), slop).count()
     assert [n("under * * License,"), n("*nder * A*e"), n("* Apache"), n("Apache *"), n("nder b"), n("License, the under", 5), n("License, the under", 4)] == [1, 1, 1, 0, 0, 1, 0]
     assert time.time() - began < 30
+
+
+def test_patterns_copy_only_passages_that_have_their_words(spark):
+    lines = one_line(spark, "Data of the ALLBUS survey, in the field")
+    patterns = spark.createDataFrame([("a", r"of the (\S+)"), ("b", r"in the (\S+)"), ("c", r"\bthe (\S+) survey")], "pattern string, regex string")
+    found = search.pattern_search(lines, patterns)
+    assert "explode(filter(words" in plan_of(found)
+    assert [(r["pattern"], r["reference"]) for r in found.orderBy("pattern").collect()] == [("a", "ALLBUS"), ("c", "ALLBUS")]
+
+
+def test_reliability_queries_search_once(spark):
+    for name in ("pmi_scores", "pattern_reliability_round1", "instance_reliability_round1", "topk_patterns"):
+        assert "posexplode" not in plan_of(catalogue.QUERIES[name](spark, SF)), name
