@@ -9,7 +9,7 @@ from refquarry.operators import federate, link, search, textprep
 from refquarry.plans import pipelines, runner
 from refquarry.plans.catalogue import _PART_TEXT, _papers, query
 from refquarry.sources import readers
-from refquarry.sources.tables import table
+from refquarry.sources.tables import dealt, table
 
 CONNECTORS = [
     federate.Connector("portal", 0.8, "portal", ("title",), 600),
@@ -118,7 +118,7 @@ def imported_ontology_links(spark, sf):
 def text_metadata_join(spark, sf):
     p = table(spark, sf, "part")
     xml = F.concat(F.lit("<r><dc:title xmlns:dc='x'>"), strings.xml_escape(F.col("p_name")), F.lit("</dc:title><dc:language xmlns:dc='x'>deu</dc:language></r>"))
-    records = readers.metadata_records(p.where("p_size < 40").select(_s("=meta/", "p_partkey", "=.xml").alias("file_name"), xml.alias("xml")))
+    records = readers.metadata_records(dealt(p.where("p_size < 40")).select(_s("=meta/", "p_partkey", "=.xml").alias("file_name"), xml.alias("xml")))
     files = p.select(F.col("p_partkey").alias("doc_id"), _s("=texts/", "p_partkey", "=.txt").alias("file_name"), F.col("p_type").alias("text"))
     return pipelines.text_and_metadata(files, records).select("doc_id", "name", F.coalesce("language", F.lit("de")).alias("language"))
 

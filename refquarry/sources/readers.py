@@ -56,11 +56,13 @@ def body_text(xmls: DataFrame) -> DataFrame:
 
 def metadata_records(xmls: DataFrame) -> DataFrame:
     """file_stem, name, abstract, language, identifiers, authors, subjects of Dublin Core records (file_name, xml)."""
-    one = lambda tag: F.expr(f"xpath_string(xml, '//*[name()=\"dc:{tag}\"]')")
+    # one parse for all elements of which the first counts; no XML text holds the character between them
+    first = ", '\x01', ".join(f"//*[name()='dc:{tag}']" for tag in ("title", "description", "language"))
     many = lambda tag: F.expr(f"xpath(xml, '//*[name()=\"dc:{tag}\"]/text()')")
-    language = one("language")
-    return xmls.select(
-        file_stem(F.col("file_name")).alias("file_stem"), one("title").alias("name"), one("description").alias("abstract"),
+    read = xmls.select("*", F.split(F.expr(f'xpath_string(xml, "concat({first})")'), "\x01").alias("first"))
+    language = F.get("first", F.lit(2))
+    return read.select(
+        file_stem(F.col("file_name")).alias("file_stem"), F.get("first", F.lit(0)).alias("name"), F.get("first", F.lit(1)).alias("abstract"),
         F.when(language.isin("eng", "en"), "en").when(language.isin("deu", "de"), "de").otherwise(language).alias("language"), many("identifier").alias("identifiers"), many("creator").alias("authors"), many("subject").alias("subjects"),
     )
 

@@ -6,6 +6,7 @@ import pytest
 
 from refquarry.operators import link, search, spread
 from refquarry.plans import catalogue
+from refquarry.sources import readers
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,11 @@ def test_outgoing_links_without_pairs(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(link.outgoing_gold_links(pairs, gold, onwards))
     assert len(want) == 4 and rows(link.outgoing_gold_links((left, right), gold, onwards)) == want
+
+
+def test_records_are_parsed_by_all_cores(spark):
+    plan = plan_of(catalogue.QUERIES["xml_metadata"](spark, SF))
+    assert "RoundRobinPartitioning" in plan and plan.count("XPathStringEvaluator(") == 1
+    rows = spark.createDataFrame([("a/b.xml", "<r><dc:title xmlns:dc='x'> T &amp; t</dc:title><dc:title xmlns:dc='x'>U</dc:title><dc:language xmlns:dc='x'>eng</dc:language></r>"), ("c.xml", "<r/>"), ("d.xml", None)], "file_name string, xml string")
+    got = [tuple(r)[:4] for r in readers.metadata_records(rows).orderBy("file_stem").collect()]
+    assert got == [("b", " T & t", "", "en"), ("c", "", "", ""), ("d", None, None, None)]
