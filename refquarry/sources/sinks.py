@@ -18,6 +18,7 @@ def link_lines(links: DataFrame, entities: DataFrame, refs: DataFrame) -> DataFr
     e = entities.select("entity_id", "name", F.array_join("identifiers", ";").alias("ids"), F.array_join("numeric_info", ";").alias("numbers"))
     a, b = e.alias("a"), e.alias("b")
     r = refs.select(F.col("ref_id"), "doc_id", pretty(F.col("left_text"), F.col("reference"), F.col("right_text")).alias("context"))
+    a, b, r = (df.hint("merge") for df in (a, b, r))  # small files hold rows many times their size: sorted, they need not fit the memory
     joined = links.join(a, links["from_entity"] == F.col("a.entity_id")).join(b, links["to_entity"] == F.col("b.entity_id")).join(r, links["link_reason"] == r["ref_id"], "left")
     cells = ["a.ids", "a.name", F.col("doc_id").cast("string"), "b.ids", "b.name", "b.numbers", "context"]
     blank = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit(" ")).otherwise(c)

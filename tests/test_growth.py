@@ -104,3 +104,10 @@ def test_records_are_parsed_by_all_cores(spark):
     rows = spark.createDataFrame([("a/b.xml", "<r><dc:title xmlns:dc='x'> T &amp; t</dc:title><dc:title xmlns:dc='x'>U</dc:title><dc:language xmlns:dc='x'>eng</dc:language></r>"), ("c.xml", "<r/>"), ("d.xml", None)], "file_name string, xml string")
     got = [tuple(r)[:4] for r in readers.metadata_records(rows).orderBy("file_stem").collect()]
     assert got == [("b", " T & t", "", "en"), ("c", "", "", ""), ("d", None, None, None)]
+
+
+def test_entities_are_not_broadcast(spark):
+    assert "Broadcast" not in plan_of(catalogue.QUERIES["link_csv"](spark, SF))
+    plan = plan_of(catalogue.QUERIES["keyword_top5"](spark, SF))
+    assert plan.count("BroadcastExchange") == 1 and "RoundRobinPartitioning" in plan and "RoundRobin" not in plan[plan.index("BroadcastExchange"):]
+    assert "Join" not in plan_of(catalogue.QUERIES["tagged_chunks"](spark, SF))
